@@ -59,7 +59,24 @@ SELECT conv_id, count(*) AS n_turns,
   count(*) FILTER (escaped) AS n_escaped
 FROM e GROUP BY conv_id"""
 
+_DECONTAMINATE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_FOLDED}, '{_WORDS}') AS w FROM benchmark),
+bw AS (SELECT item_id, least(len(w), 10) AS n, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1 : s + n], ' ') AS t FROM bw),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT r, n, w, unnest(range(len(w) - n + 1)) AS s FROM d, lens WHERE len(w) >= n),
+spots AS (SELECT r, n, s, array_to_string(w[s + 1 : s + n], ' ') AS t FROM dw),
+hits AS (SELECT r, n, s, item_id FROM spots JOIN win USING (n, t)),
+places AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_chat_format": _CHAT,
+    "op4_decontaminate": _DECONTAMINATE,
 }
