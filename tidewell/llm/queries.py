@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, licenses, quality, sql, toxicity
+from tidewell.llm import bpe, chat, decontaminate, langid, licenses, quality, sql, toxicity
+from tidewell.llm.sampling import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +40,22 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_sentence", "worst_score")
@@ -55,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
+    "op6_bpe": op6_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
