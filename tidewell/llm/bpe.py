@@ -61,7 +61,7 @@ def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """block, word: the distinct words of each block."""
+    """block, word: the distinct words of each block.  (doc_id is read so that this and the way back share one exchange.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set[bytes]] = {}
@@ -74,22 +74,23 @@ def block_words(blocks: DataFrame) -> DataFrame:
                 part = pa.array(listed[start : start + 50_000], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "word"])
 
-    return blocks.select("block", "text").mapInArrow(run, "block int, word string")
+    return blocks.select("block", "doc_id", "text").mapInArrow(run, "block int, word string")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids: each distinct word encoded once."""
+    """word, ids: each distinct word encoded once; words has a column of the word and any others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         for batch in batches:
-            listed = batch.column(0).to_pylist()
+            word = batch.column(batch.schema.get_field_index("word"))
+            listed = word.to_pylist()
             ids = [
                 e.ids
                 for start in range(0, len(listed), ENCODE_BATCH)
                 for e in tokenizer.encode_batch(listed[start : start + ENCODE_BATCH], add_special_tokens=False)
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([word, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return words.mapInArrow(run, "word string, ids array<int>")
 
@@ -104,7 +105,7 @@ def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
     """word, ids, decoded: every distinct word once.  A word without any token is not in it."""
-    distinct = words.select("word").distinct()
+    distinct = words.groupBy("word").agg(F.min("block").alias("block"))  # reads both columns: the exchange is the same
     return decode_words(encode_words(distinct, path), id_pieces(words.sparkSession, path))
 
 
@@ -139,7 +140,7 @@ def _look_up(out_schema: str, finish):
 
 def _rejoin(docs: DataFrame, path: str, schema: str, finish, block_bytes: int) -> DataFrame:
     blocks = blocks_of(docs, block_bytes)
-    words = block_words(blocks).repartition("word")  # one exchange for the table and for the way back
+    words = block_words(blocks).where(F.col("word").isNotNull()).repartition("word")  # one exchange for the table and for the way back
     own = words.join(word_table(words, path), "word").select("block", "word", "ids", "decoded")
     return (
         blocks.select("block", "doc_id", "text")
