@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, decontaminate, jaccard, langid, licenses, quality, sql, toxicity
+from tidewell.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, sql, toxicity
 from tidewell.llm.sampling import held_out
 
 
@@ -56,6 +56,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_recurring_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", "worst_sentence", "worst_score")
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
