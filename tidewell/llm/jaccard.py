@@ -302,7 +302,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, text: str = "tex
 
 
 def first_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the least id, with its own columns; of rows with that same id, all that are alike are one."""
+    """One document of each component, that with the least id, with its own columns.
+
+    Rows that repeat an id are one document and stay or go together; rows with a null id stay.
+    """
     found = jaccard_components(docs, percent)
     gone = found.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, sql, toxicity
+from tidewell.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, sharding, sql, toxicity
 from tidewell.llm.sampling import held_out
+from tidewell.llm.workspace import fresh_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,24 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, fresh_path(spark, "shards"))
+    store.append(docs)
+    version = store.compact(like=docs)
+    shards = store.manifest(version).select("version", F.col("shard").alias("_shard"), "n_docs", "n_bytes")
+    rows = store.rows(like=docs).join(shards, "_shard")
+    return rows.select(
+        "doc_id",
+        F.md5("text").alias("text_md5"),
+        "source",
+        F.col("_shard").alias("shard"),
+        F.col("n_docs").alias("shard_docs"),
+        F.col("n_bytes").alias("shard_bytes"),
+        F.col("version").cast("long").alias("version"),
+    )
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select(
@@ -80,6 +99,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
+    "op3_sharding": op3_sharding,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,

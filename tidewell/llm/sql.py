@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import licenses, linededup
+from tidewell.llm import licenses, linededup, sharding
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases A-Z only.
@@ -75,6 +75,18 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""
 
+_TIERS = " + ".join(f"(n_bytes > {sharding.TIER_BYTES * sharding.TIER_BASE**i})::INT" for i in range(16))
+_SHARDING = f"""
+WITH d AS (SELECT *, coalesce(floor(doc_id / {sharding.ARRIVAL_IDS}), -1)::BIGINT AS arrival FROM documents),
+small AS (SELECT arrival, count(*) AS n_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes FROM d GROUP BY arrival),
+tiered AS (SELECT *, {_TIERS} AS tier, arrival // {sharding.BLOCK} AS block FROM small),
+parts AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY tier, block ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  // {sharding.TARGET_BYTES} AS part FROM tiered),
+runs AS (SELECT *, min(arrival) OVER (PARTITION BY tier, block, part) AS run FROM parts),
+shards AS (SELECT run, sum(n_docs)::BIGINT AS shard_docs, sum(n_bytes)::BIGINT AS shard_bytes FROM runs GROUP BY run)
+SELECT doc_id, md5(text) AS text_md5, source, run AS shard, shard_docs, shard_bytes, 2::BIGINT AS version
+FROM d JOIN runs USING (arrival) JOIN shards USING (run)"""
+
 _LINE_DEDUP = rf"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
   unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
@@ -100,6 +112,7 @@ FROM documents d LEFT JOIN gone USING (doc_id)"""
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_chat_format": _CHAT,
+    "op3_sharding": _SHARDING,
     "op4_decontaminate": _DECONTAMINATE,
     "op7_line_dedup": _LINE_DEDUP,
 }
