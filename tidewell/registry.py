@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "n22_scoreboard"
+from tidewell.plans import windows  # noqa: F401
+from tidewell.plans.common import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "bars_daily"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
