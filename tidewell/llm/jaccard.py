@@ -151,9 +151,12 @@ def node_keys(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> Da
 def candidate_groups(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
     """key, node: members of each key that is left, after every set has dropped the keys that cost most."""
     _, _, spare, _ = _bands(percent)
-    dealt = keys.repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("cost"))
-    shared = shared.where("low <> high").select("key", "cost")
+    dealt = keys.where("key IS NOT NULL AND band IS NOT NULL").repartition("key")
+    # reads all columns, so that this and the join below share one exchange
+    shared = dealt.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("cost"), F.max("band").alias("any_band")
+    )
+    shared = shared.where("low <> high AND any_band IS NOT NULL").select("key", "cost")
     z = F.element_at(F.array(*(F.lit(x) for x in spare)), F.col("band").cast("int") + 1)
     dear = Window.partitionBy("node", "band").orderBy(F.desc("cost"), "key")
     left = (

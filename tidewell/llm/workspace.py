@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; its own temporary folder only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -24,8 +27,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def settled(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: later steps start from files, not from lineage."""
+    """Write a table to the shared folder and read it back: later steps start from files, not from lineage.
+
+    Nothing reads the shuffle files of that write again, so Spark is told to
+    remove them at its end instead of at some later garbage collection.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
