@@ -1,16 +1,18 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Texts are split into words at ASCII white space, which the tokenizer's own
-normaliser and splitter never join across.  Documents are dealt into blocks by
-a hash of their row; each block gives its distinct words, the word table holds
-every distinct word of the corpus once, is encoded once, and gets its decoded
-text through a join of its ids with the id-to-piece table.  Words and ids go
-back to the blocks that hold them, where every position of a document looks up
-its word: the ids join back by position.
-
-Only distinct words of a block travel, not positions, so a frequent word costs
-one row for each block.  A block holds about BLOCK_BYTES of text.  The exchange
-that deals the documents is used by both steps.
+normaliser and splitter never join across.  Documents are packed and dealt into
+blocks of about BLOCK_BYTES; each block gives its distinct words, and the word
+table holds every distinct word of the corpus once and is encoded once.  The
+ids then go back to the blocks that hold the word, keyed by the word's 64-bit
+hash, and every position of a document looks up its word there: the ids join
+back by position.  Decoding joins the ids with the id-to-piece table, which has
+a fixed number of rows for a tokenizer.
+
+Only the distinct words of a block travel, not their positions, so a frequent
+word costs one row for each block.  The exchanges of the packed documents and
+of the block's words are each read twice.  Two words of one block with the same
+hash would be told apart by nothing: that case is looked for and refused.
 
 Defined results: null is empty and has no tokens; repeated rows each keep a
 row; the tokenizer's special strings in a text become their ids, as in the
@@ -20,20 +22,24 @@ tokenizers library; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.words import binary_column
+from tidewell.llm.words import WordHashes, binary_column
 
-#: Text of a block, about; with its words it must fit a Python worker several times over.
-BLOCK_BYTES = 16_000_000
-#: Documents of a task that are looked at together.
+#: Text of a block, about.
+BLOCK_BYTES = 32_000_000
+#: Words that the tokenizer gets together.
 ENCODE_BATCH = 4_096
 
+_PACKED = "block int, doc_ids array<long>, ends array<long>, packed binary"
+
 
 def load_tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -44,117 +50,137 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-def id_pieces(spark, path: str) -> DataFrame:
-    """id, piece: the vocabulary, a fixed number of rows for a tokenizer."""
+def piece_table(path: str) -> list[bytes]:
+    """The piece of each id, in UTF-8."""
     vocabulary = load_tokenizer(path).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": pa.array(list(vocabulary), pa.string())}))
+    table = [b""] * (max(vocabulary.values()) + 1)
+    for piece, number in vocabulary.items():
+        table[number] = piece.encode()
+    return table
 
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """row_id, doc_id, text, block: dealt by block, one exchange."""
+def packed_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """block, doc_ids, ends, packed: documents in compressed bundles, dealt by block in one exchange."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes), docs.sparkSession.sparkContext.defaultParallelism if total > block_bytes else 1)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    return rows.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int")).repartition(int(n), "block")
+    n = max(1, -(-total // block_bytes))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            bundles: dict[int, tuple[list, list, list]] = {}
+            for block, doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary_column(batch, "text"), strict=True):
+                ids, texts, ends = bundles.setdefault(block, ([], [], []))
+                ids.append(doc)
+                texts.append(raw or b"")
+                ends.append((ends[-1] if ends else 0) + len(texts[-1]))
+            for block, (ids, texts, ends) in bundles.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([ends], pa.list_(pa.int64())), pa.array([press.compress(b"".join(texts))], pa.binary())],
+                    names=["block", "doc_ids", "ends", "packed"],
+                )
+
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    rows = docs.select(block.alias("block"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(pack, _PACKED).where("block IS NOT NULL").repartition(int(n), "block")
+
+
+def _texts(packed: bytes, ends: list[int]) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(packed)
+    return [whole[begin:end] for begin, end in zip([0, *ends], ends, strict=False)]
 
 
 def block_words(blocks: DataFrame) -> DataFrame:
-    """block, word: the distinct words of each block.  (doc_id is read so that this and the way back share one exchange.)"""
+    """block, word: the distinct words of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set[bytes]] = {}
         for batch in batches:
-            for block, raw in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
-                found.setdefault(block, set()).update(raw.split())
-        for block, words in found.items():
-            listed = list(words)
-            for start in range(0, len(listed), 50_000):
-                part = pa.array(listed[start : start + 50_000], pa.binary()).cast(pa.string())
+            for block, ends, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                words = found.setdefault(block, set())
+                for text in _texts(packed, ends):
+                    words.update(text.split())
+        for block in list(found):
+            words = list(found.pop(block))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            if len(np.unique(hashes)) < len(words):
+                raise ValueError("two words of a block have the same hash; use another block size")
+            for start in range(0, len(words), 20_000):
+                part = pa.array(words[start : start + 20_000], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "word"])
 
-    return blocks.select("block", "doc_id", "text").mapInArrow(run, "block int, word string")
+    return blocks.mapInArrow(run, "block int, word string").where("word IS NOT NULL").repartition("word")
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids: each distinct word encoded once; words has a column of the word and any others."""
+def word_table(words: DataFrame, path: str) -> DataFrame:
+    """word, hash, ids (packed, 32 bits each): every distinct word, encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(path)
         for batch in batches:
-            word = batch.column(batch.schema.get_field_index("word"))
-            listed = word.to_pylist()
-            ids = [
-                e.ids
-                for start in range(0, len(listed), ENCODE_BATCH)
-                for e in tokenizer.encode_batch(listed[start : start + ENCODE_BATCH], add_special_tokens=False)
-            ]
-            yield pa.RecordBatch.from_arrays([word, pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids array<int>")
-
-
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """word, ids, decoded: the pieces of the ids in order, a blank between."""
-    placed = encoded.select("word", F.posexplode("ids").alias("pos", "id"))
-    # the pieces are a fixed number of rows
-    joined = placed.join(F.broadcast(pieces), "id").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "piece"))).alias("found"))
-    return joined.select("word", F.col("found.id").alias("ids"), F.array_join(F.col("found.piece"), " ").alias("decoded"))
-
-
-def word_table(words: DataFrame, path: str) -> DataFrame:
-    """word, ids, decoded: every distinct word once.  A word without any token is not in it."""
-    distinct = words.groupBy("word").agg(F.min("block").alias("block"))  # reads both columns: the exchange is the same
-    return decode_words(encode_words(distinct, path), id_pieces(words.sparkSession, path))
-
-
-def _look_up(out_schema: str, finish):
-    """A function for cogrouped blocks: the documents on the left, the block's words on the right."""
-    names = [part.split()[0] for part in out_schema.split(", ")]
+            for start in range(0, batch.num_rows, ENCODE_BATCH):
+                word = batch.column(0).slice(start, ENCODE_BATCH)
+                listed = word.to_pylist()
+                ids = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(listed, add_special_tokens=False)]
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in listed), np.uint64, len(listed))
+                yield pa.RecordBatch.from_arrays([word, pa.array(hashes.view(np.int64)), pa.array(ids, pa.binary())], names=["word", "hash", "ids"])
+
+    # reads both columns of the words, so that this and the way back share one exchange
+    distinct = words.groupBy("word").agg(F.min("block").alias("block"))
+    return distinct.mapInArrow(run, "word string, hash long, ids binary")
+
+
+class BlockTable:
+    """The words of one block: ids by hash, in sorted arrays."""
+
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        hashes = table.column("hash").to_numpy().view(np.uint64)
+        listed = table.column("ids").to_pylist()
+        sizes = np.array([len(x) // 4 for x in listed], np.int64)
+        flat = np.frombuffer(b"".join(listed), "<u4")
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.sizes = sizes[order]
+        self.begins = (np.cumsum(sizes) - sizes)[order]
+        self.flat = flat
+        self.of = WordHashes()
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """The ids of the words in order."""
+        if not words:
+            return np.empty(0, "<u4")
+        at = np.searchsorted(self.hashes, self.of.of(words))
+        sizes, begins = self.sizes[at], self.begins[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]))]
+
+
+def _rejoin(docs: DataFrame, path: str, schema: str, finish: Callable, block_bytes: int) -> DataFrame:
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-    types = [kinds[part.split()[1]] for part in out_schema.split(", ")]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = {}
-        for batch in right.to_batches():
-            words, listed = binary_column(batch, "word"), batch.column(batch.schema.get_field_index("ids"))
-            flat = np.asarray(listed.flatten().to_numpy(), np.uint32)
-            ends = np.cumsum(np.asarray(listed.value_lengths().to_numpy(), np.int64))
-            packed = flat.tobytes()
-            texts = binary_column(batch, "decoded")
-            begin = 0
-            for word, end, text in zip(words, ends.tolist(), texts, strict=True):
-                ids[word] = (packed[4 * begin : 4 * end], text)
-                begin = end
-        rows = []
+    names, types = zip(*((n, kinds[k]) for n, k in (part.split() for part in schema.split(", "))), strict=True)
+    pieces = piece_table(path)
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        table, rows = BlockTable(right), []
         for batch in left.to_batches():
-            for doc, raw in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), binary_column(batch, "text"), strict=True):
-                found = [ids[w] for w in raw.split() if w in ids]
-                rows.append(finish(doc, b"".join([f[0] for f in found]), b" ".join([f[1] for f in found])))
+            for ids, ends, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for doc, text in zip(ids, _texts(packed, ends), strict=True):
+                    found = table.ids(text.split())
+                    rows.append(finish(doc, found, b" ".join(map(pieces.__getitem__, found.tolist()))))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return run
-
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
 
-def _rejoin(docs: DataFrame, path: str, schema: str, finish, block_bytes: int) -> DataFrame:
-    blocks = blocks_of(docs, block_bytes)
-    words = block_words(blocks).where(F.col("word").isNotNull()).repartition("word")  # one exchange for the table and for the way back
-    own = words.join(word_table(words, path), "word").select("block", "word", "ids", "decoded")
-    return (
-        blocks.select("block", "doc_id", "text")
-        .groupBy("block")
-        .cogroup(own.groupBy("block"))
-        .applyInArrow(_look_up(schema, finish), schema)
-    )
+    blocks = packed_blocks(docs, block_bytes)
+    words = block_words(blocks)
+    back = words.join(word_table(words, path), "word").select("block", "hash", "ids")
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(look_up, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, ids, decoded: the tokens of every whole text and their decoded text."""
     return _rejoin(
         docs, path, "doc_id long, ids array<int>, decoded string",
-        lambda doc, packed, decoded: (doc, np.frombuffer(packed, np.int32).tolist(), decoded.decode()), block_bytes,
+        lambda doc, ids, decoded: (doc, ids.astype(np.int32), decoded.decode()), block_bytes,
     )
 
 
@@ -162,5 +188,5 @@ def digest_documents(docs: DataFrame, path: str, block_bytes: int = BLOCK_BYTES)
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_documents gives, as digests."""
     return _rejoin(
         docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
-        lambda doc, packed, decoded: (doc, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest()), block_bytes,
+        lambda doc, ids, decoded: (doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()), block_bytes,
     )
