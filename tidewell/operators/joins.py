@@ -40,7 +40,7 @@ def horizon_rows(bars: DataFrame, horizons: list[int], contiguous: bool = False)
     along = Window.partitionBy("asset_id").orderBy("date")
     placed = bars.withColumn("idx", F.row_number().over(along) - 1)
     ahead = [F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(along).alias("target_date"), F.lead("close", h).over(along).alias("actual")) for h in horizons]
-    rows = placed.withColumn("_t", F.explode(F.array(*ahead))).select(*placed.columns, "_t.*").where("target_date IS NOT NULL")
+    rows = placed.withColumn("_ahead", F.array(*ahead)).withColumn("_t", F.explode("_ahead")).select(*placed.columns, "_t.*").where("target_date IS NOT NULL")
     return rows.where(F.datediff("target_date", "date") == F.col("horizon")) if contiguous else rows
 
 

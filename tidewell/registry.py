@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import windows  # noqa: F401
+from tidewell.plans import forecasting, joined, windows  # noqa: F401
 from tidewell.plans.common import ORACLE_SQL, QUERIES
 
-FLAGSHIP = "bars_daily"
+FLAGSHIP = "n22_scoreboard"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
