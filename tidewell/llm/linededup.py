@@ -11,9 +11,9 @@ boilerplate: its lines are dropped from every document but the first (the least
 doc_id), so no passage leaves the corpus altogether.
 
 Copies of a whole text count once, so a copied document is not boilerplate by
-itself.  Counts are joined on hashed keys with partial aggregation, and tokens
-are exploded for distinct lines only: a line in a third of all documents is one
-row there.
+itself.  Leaves are counted first, so that only lines of leaves that recur are
+masked and kept; tokens are exploded for distinct lines only: a line in a third
+of all documents is one row there.
 
 Defined results: null text stays null and has no lines; blank lines are kept
 and never counted; lines of fewer than LEAST_TOKENS tokens are kept; repeated
@@ -35,34 +35,40 @@ SIMILAR = 0.7
 #: Different texts in which a template is boilerplate.
 LEAST_DOCUMENTS = 5
 LEAST_TOKENS = 4
+#: Leaves up to this many are broadcast (8 bytes each).
+BROADCAST_LEAVES = 1_000_000
 WILDCARD = "<*>"
 
 
-def masked_tokens(line: Column) -> Column:
-    """Tokens of a line, those with a digit as WILDCARD.  The pattern never backtracks, however long a token is."""
-    masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", WILDCARD)
-    return F.array_remove(F.split(masked, r"\s+"), "")
+def masked(tokens: Column) -> Column:
+    """Tokens, those with a digit as WILDCARD."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
 
 
 def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest (of the text), line_no, line, tokens, leaf, shape: the lines with LEAST_TOKENS tokens or more."""
+    """doc_id, digest (of the text), line_no, tokens (split at blanks), leaf: the lines with LEAST_TOKENS tokens or more."""
     lines = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    tokens = lines.withColumn("tokens", masked_tokens(F.col("line"))).where(F.size("tokens") >= LEAST_TOKENS)
-    return tokens.withColumns(
-        {"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "shape": F.xxhash64("tokens")}
-    )
+    tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
+
+
+def lines_of_leaves(lines: DataFrame, leaves: DataFrame, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
+    """The lines of those leaves, masked, with their shape (a hash of the masked line).
+
+    Up to ``broadcast_leaves`` leaves are broadcast, so the texts stay where they
+    are; more are met by a shuffle of the lines.
+    """
+    if leaves.limit(broadcast_leaves + 1).count() <= broadcast_leaves:
+        leaves = F.broadcast(leaves)
+    known = lines.join(leaves, "leaf", "left_semi").withColumn("tokens", masked(F.col("tokens")))
+    return known.withColumn("shape", F.xxhash64("tokens"))
 
 
-def recurring_shapes(lines: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
-    """shape, template, first_doc: masked lines of the templates that recur in at least ``least_documents`` texts."""
-    reached = settled(lines.select("leaf", "shape", "digest", "doc_id"), "reached")
-    leaves = reached.groupBy("leaf").agg(F.countDistinct("digest").alias("n")).where(F.col("n") >= least_documents).select("leaf")
-    known = reached.join(leaves, "leaf", "left_semi")
-    shapes = known.groupBy("leaf", "shape").agg(F.countDistinct("digest").alias("texts"))
-    # one row for each distinct masked line of such a leaf
+def recurring_shapes(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
+    """shape, template, first_doc, texts: masked lines of the templates that recur in at least ``least_documents`` texts."""
+    # one row for each distinct masked line
     distinct = settled(
-        lines.select("shape", "tokens").join(shapes, "shape").groupBy("leaf", "shape").agg(F.any_value("tokens").alias("tokens"), F.any_value("texts").alias("texts")),
-        "shapes",
+        known.groupBy("leaf", "shape").agg(F.any_value("tokens").alias("tokens"), F.countDistinct("digest").alias("texts")), "shapes"
     )
     placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
     constants = placed.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("support")).where(F.col("support") >= least_documents)
@@ -73,8 +79,10 @@ def recurring_shapes(lines: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
         .where(F.col("n_fixed") >= similar * F.col("n_tokens"))
         .select("shape", F.xxhash64("leaf", "marks").alias("template"))
     )
+    templates = settled(templates, "templates")
     recurring = (
-        known.join(templates, "shape")
+        known.select("shape", "digest", "doc_id")
+        .join(templates, "shape")
         .groupBy("template")
         .agg(F.countDistinct("digest").alias("texts"), F.min("doc_id").alias("first_doc"))
         .where(F.col("texts") >= least_documents)
@@ -87,9 +95,11 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents with their own columns, the text without its recurring lines, and n_lines and n_dropped."""
     lines = document_lines(docs, text, key)
-    shapes = settled(recurring_shapes(lines, least_documents, similar), "recurring")
+    leaves = lines.groupBy("leaf").agg(F.countDistinct("digest").alias("n")).where(F.col("n") >= least_documents).select("leaf")
+    known = settled(lines_of_leaves(lines, settled(leaves, "leaves")), "known")
+    shapes = settled(recurring_shapes(known, least_documents, similar), "recurring")
     gone = (
-        lines.select("doc_id", "digest", "line_no", "shape")
+        known.select("doc_id", "digest", "line_no", "shape")
         .join(shapes, "shape")
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))

@@ -90,7 +90,7 @@ FROM d JOIN runs USING (arrival) JOIN shards USING (run)"""
 _LINE_DEDUP = rf"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
   unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT doc_id, text, line_no, list_filter(regexp_split_to_array(line, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS r FROM l),
+raw AS (SELECT doc_id, text, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS r FROM l),
 k AS (SELECT doc_id, text, line_no, list_transform(r, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{linededup.WILDCARD}' ELSE x END) AS tokens
   FROM raw WHERE len(r) >= {linededup.LEAST_TOKENS}),
 t AS (SELECT *, (len(tokens), tokens[1:{linededup.DEPTH}]) AS leaf FROM k),
