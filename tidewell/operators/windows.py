@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import finite, log_ratio
 
-SERIES = Window.partitionBy("asset_id").orderBy("date")
+def series() -> WindowSpec:
+    return Window.partitionBy("asset_id").orderBy("date")
 
 
 def trailing(n: int) -> WindowSpec:
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def prior(n: int) -> WindowSpec:
-    return SERIES.rowsBetween(-n, -1)
+    return series().rowsBetween(-n, -1)
 
 
-EXPANDING = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-ALL_PRIOR = SERIES.rowsBetween(Window.unboundedPreceding, -1)
+def expanding() -> WindowSpec:
+    return series().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def all_prior() -> WindowSpec:
+    return series().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def col(c: Column | str) -> Column:
@@ -40,7 +45,7 @@ def sma(c: Column | str, n: int) -> Column:
 
 
 def log_return(c: Column | str, k: int = 1) -> Column:
-    return log_ratio(col(c), F.lag(col(c), k).over(SERIES))
+    return log_ratio(col(c), F.lag(col(c), k).over(series()))
 
 
 def deviation(c: Column | str, n: int, sample: bool = True) -> Column:
@@ -54,13 +59,13 @@ def rolling_sum(c: Column | str, n: int, share: float = 0.8) -> Column:
 
 
 def change(c: Column | str, k: int) -> Column:
-    before = F.lag(col(c), k).over(SERIES)
+    before = F.lag(col(c), k).over(series())
     return F.when(before != 0, col(c) / before - 1)
 
 
 def drawdown(c: Column | str) -> Column:
     """Change from the highest value so far."""
-    return col(c) / F.max(col(c)).over(EXPANDING) - 1
+    return col(c) / F.max(col(c)).over(expanding()) - 1
 
 
 def rebound(c: Column | str, n: int) -> Column:
@@ -77,14 +82,14 @@ def zscore_prior(c: Column | str, n: int, least: int) -> Column:
 
 def zscore_expanding(c: Column | str, least: int) -> Column:
     """Distance from the mean of all rows up to this one."""
-    spread = F.stddev_pop(col(c)).over(EXPANDING)
-    z = (col(c) - F.avg(col(c)).over(EXPANDING)) / F.nullif(spread, F.lit(0.0))
-    return full(z, col(c), EXPANDING, least)
+    spread = F.stddev_pop(col(c)).over(expanding())
+    z = (col(c) - F.avg(col(c)).over(expanding())) / F.nullif(spread, F.lit(0.0))
+    return full(z, col(c), expanding(), least)
 
 
 def percentile_prior(c: Column | str, least: int, most: int = 100_000) -> Column:
     """Share of the rows before that are not above this one; a series holds at most ``most`` days."""
-    before = F.collect_list(col(c)).over(SERIES.rowsBetween(-most, -1))
+    before = F.collect_list(col(c)).over(series().rowsBetween(-most, -1))
     share = F.size(F.filter(before, lambda v: v <= col(c))) / F.nullif(F.size(before), F.lit(0))
     return F.when(F.size(before) >= least, share)
 
@@ -102,7 +107,7 @@ def stochastic_k(high: str, low: str, close: str, n: int = 14) -> Column:
 
 def strict_cross(left: Column, right: Column) -> Column:
     """1 where left rises through right, -1 where it falls through, else 0; 0 where a value is missing."""
-    now, before = left - right, F.lag(left - right).over(SERIES)
+    now, before = left - right, F.lag(left - right).over(series())
     return F.coalesce(F.when((before <= 0) & (now > 0), 1).when((before >= 0) & (now < 0), -1), F.lit(0))
 
 
@@ -113,7 +118,7 @@ def band_state(left: Column, right: Column, band: float) -> Column:
 
 def hysteresis_cross(state: Column) -> Column:
     """The side that is entered where the last side outside the band was the other one, else 0."""
-    held = F.last(state, ignorenulls=True).over(ALL_PRIOR)
+    held = F.last(state, ignorenulls=True).over(all_prior())
     return F.coalesce(F.when(state != held, state), F.lit(0))
 
 

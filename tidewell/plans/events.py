@@ -45,7 +45,7 @@ def events_cooldown(spark, sf_dir):
 
 @query("episodes", f"WITH {BARS}, {Z}, e AS (SELECT asset_id, date, lag(date) OVER ({S}) AS before FROM z WHERE z > 1.5) SELECT asset_id, count(*) AS n_events, count(*) FILTER (before IS NULL OR date - before >= 14) AS n_episodes FROM e GROUP BY 1")
 def episodes(spark, sf_dir):
-    rows = _zed(order_bars(spark, sf_dir)).where("z > 1.5").withColumn("before", F.lag("date").over(w.SERIES))
+    rows = _zed(order_bars(spark, sf_dir)).where("z > 1.5").withColumn("before", F.lag("date").over(w.series()))
     return rows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("before").isNull() | (F.datediff("date", "before") >= 14)).alias("n_episodes"))
 
 
@@ -57,9 +57,9 @@ _NEXT = f"OVER ({S} ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)"
   {r('list_min(list_transform(range(1, 32), lambda i: path[i] / list_max(path[1:i]) - 1))')} AS worst_drawdown FROM p WHERE later IS NOT NULL""")
 def forward_path_stats(spark, sf_dir):
     """Return, best gain and worst fall from a peak over the next 30 rows; only complete paths."""
-    ahead = w.SERIES.rowsBetween(1, 30)
-    path = F.collect_list("close").over(w.SERIES.rowsBetween(0, 30))
-    rows = market_bars(spark, sf_dir).select("date", "close", F.lead("close", 30).over(w.SERIES).alias("later"), F.max("close").over(ahead).alias("top"), path.alias("path"))
+    ahead = w.series().rowsBetween(1, 30)
+    path = F.collect_list("close").over(w.series().rowsBetween(0, 30))
+    rows = market_bars(spark, sf_dir).select("date", "close", F.lead("close", 30).over(w.series()).alias("later"), F.max("close").over(ahead).alias("top"), path.alias("path"))
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
 
     def step(acc, x):
@@ -74,7 +74,7 @@ def forward_path_stats(spark, sf_dir):
 @query("next_open_return", f"WITH {MARKET}, n AS (SELECT date, lead(open, 1) OVER ({S}) AS o1, lead(date, 1) OVER ({S}) AS d1, lead(open, 8) OVER ({S}) AS o8, lead(date, 8) OVER ({S}) AS d8 FROM bars) SELECT date, {r('ln(o8 / o1)')} AS forward FROM n WHERE d1 - date = 1 AND d8 - date = 8")
 def next_open_return(spark, sf_dir):
     """From the next day's open to the open seven days after it; only where both days exist."""
-    at = lambda c, k: F.lead(c, k).over(w.SERIES)
+    at = lambda c, k: F.lead(c, k).over(w.series())
     rows = market_bars(spark, sf_dir).select("date", at("open", 1).alias("o1"), at("date", 1).alias("d1"), at("open", 8).alias("o8"), at("date", 8).alias("d8"))
     exact = (F.datediff("d1", "date") == 1) & (F.datediff("d8", "date") == 8)
     return rows.where(exact).select("date", rounded(log_ratio(F.col("o8"), F.col("o1"))).alias("forward"))
@@ -100,7 +100,7 @@ def buy_zone_score(spark, sf_dir):
 def event_study_signed_excess(spark, sf_dir):
     """Returns after a cross, signed by its side, over the asset's usual return and less a cost."""
     rows = order_bars(spark, sf_dir).withColumn("a", w.sma("close", 20))
-    rows = rows.withColumns({"side": w.strict_cross(F.col("close"), F.col("a")), "fwd": log_ratio(F.lead("close", 7).over(w.SERIES), F.col("close"))})
+    rows = rows.withColumns({"side": w.strict_cross(F.col("close"), F.col("a")), "fwd": log_ratio(F.lead("close", 7).over(w.series()), F.col("close"))})
     rows = rows.withColumn("base", F.avg("fwd").over(Window.partitionBy("asset_id"))).where("side <> 0 AND fwd IS NOT NULL")
     excess = F.col("side") * (F.col("fwd") - F.col("base"))
     return rows.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(excess - 0.002)).alias("mean_excess"), rounded(F.avg((excess > 0.002).cast("int"))).alias("win_rate"))
@@ -110,13 +110,13 @@ def event_study_signed_excess(spark, sf_dir):
 def weekly_origins(spark, sf_dir):
     """The first day on which the week's source row is new."""
     rows = market_bars(spark, sf_dir).withColumn("week", F.date_trunc("week", "date").cast("date"))
-    before = F.lag("week").over(w.SERIES)
+    before = F.lag("week").over(w.series())
     return rows.withColumn("before", before).where("before IS NULL OR week <> before").select("date", "week")
 
 
 @query("thinned_origins", f"WITH {MARKET}, n AS (SELECT date, close, row_number() OVER (ORDER BY date) - 1 AS idx FROM bars) SELECT date, idx FROM n WHERE idx >= 365 AND (idx - 365) % 30 = 0")
 def thinned_origins(spark, sf_dir):
-    rows = market_bars(spark, sf_dir).withColumn("idx", (F.row_number().over(w.SERIES) - 1).cast("long"))
+    rows = market_bars(spark, sf_dir).withColumn("idx", (F.row_number().over(w.series()) - 1).cast("long"))
     return rows.where("idx >= 365 AND (idx - 365) % 30 = 0").select("date", "idx")
 
 
@@ -137,7 +137,7 @@ def contribution_share(spark, sf_dir):
 @query("path_diagnostics", f"""WITH {BARS}, x AS (SELECT asset_id, date, ln(close / lag(close) OVER ({S})) AS x FROM bars), y AS (SELECT asset_id, date, x, lag(x) OVER ({S}) AS p FROM x)
   SELECT asset_id, {r('avg(x)')} AS mean, {r('var_pop(x)')} AS variance, {r('corr(x, p)')} AS acf1, {r('corr(abs(x), abs(p))')} AS abs_acf1, {r('avg((sign(x) <> sign(p))::INT)')} AS sign_changes FROM y WHERE p IS NOT NULL GROUP BY 1""")
 def path_diagnostics(spark, sf_dir):
-    rows = order_bars(spark, sf_dir).withColumn("x", w.log_return("close")).withColumn("p", F.lag("x").over(w.SERIES)).where("p IS NOT NULL")
+    rows = order_bars(spark, sf_dir).withColumn("x", w.log_return("close")).withColumn("p", F.lag("x").over(w.series())).where("p IS NOT NULL")
     rows = rows.withColumns({"ax": F.abs("x"), "ap": F.abs("p")})
     return rows.groupBy("asset_id").agg(
         rounded(F.avg("x")).alias("mean"), rounded(F.var_pop("x")).alias("variance"), rounded(metrics.correlation("x", "p")).alias("acf1"), rounded(metrics.correlation("ax", "ap")).alias("abs_acf1"),
@@ -193,7 +193,7 @@ def study_median_shift(spark, sf_dir):
     """A signal shifts the median; the coefficient is chosen on the early part and scored on the rest."""
     from tidewell.plans.studies import median_shift
 
-    rows = _zed(market_bars(spark, sf_dir)).withColumn("actual", F.lead("close", 30).over(w.SERIES)).where("z IS NOT NULL AND actual IS NOT NULL")
+    rows = _zed(market_bars(spark, sf_dir)).withColumn("actual", F.lead("close", 30).over(w.series())).where("z IS NOT NULL AND actual IS NOT NULL")
     grid = [(i - 6) * 0.05 for i in range(13)]
     found = median_shift(rows, F.col("z"), grid, "1999-01-01")
     return found.select(rounded("coefficient").alias("coefficient"), rounded("validation").alias("validation"), rounded("holdout").alias("holdout"), "n")
@@ -208,7 +208,7 @@ def study_sigma_scale(spark, sf_dir):
     from tidewell.plans.studies import sigma_scale
 
     rows = _zed(market_bars(spark, sf_dir)).withColumn("ret", w.log_return("close"))
-    rows = rows.withColumns({"actual": F.lead("close", 7).over(w.SERIES), "sigma": w.deviation("ret", 90)}).where("z IS NOT NULL AND actual IS NOT NULL AND sigma IS NOT NULL")
+    rows = rows.withColumns({"actual": F.lead("close", 7).over(w.series()), "sigma": w.deviation("ret", 90)}).where("z IS NOT NULL AND actual IS NOT NULL AND sigma IS NOT NULL")
     found = sigma_scale(rows, F.abs("z"), [0.0, 0.1, 0.2, 0.3, 0.5], "1999-01-01")
     return found.select("scale", rounded("validation").alias("validation"), rounded("holdout").alias("holdout"))
 

@@ -319,7 +319,7 @@ def normal_quantile(spark, sf_dir):
 @query("phase_regressions", f"""WITH {MARKET}, f AS (SELECT date, ln(close / lag(close, 30) OVER ({S})) AS x, ln(lead(close, 30) OVER ({S}) / close) AS y, CASE WHEN year(date) < 1998 THEN 'early' ELSE 'late' END AS phase FROM bars)
   SELECT phase, x > 0 AS rising, count(*) AS n, {r('avg(y)')} AS mean_forward, {r('avg((y > 0)::INT)')} AS hit_rate, {r('regr_slope(y, x)')} AS slope FROM f WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL""")
 def phase_regressions(spark, sf_dir):
-    rows = market_bars(spark, sf_dir).withColumns({"x": w.log_return("close", 30), "y": log_ratio(F.lead("close", 30).over(w.SERIES), F.col("close"))})
+    rows = market_bars(spark, sf_dir).withColumns({"x": w.log_return("close", 30), "y": log_ratio(F.lead("close", 30).over(w.series()), F.col("close"))})
     rows = rows.where("x IS NOT NULL AND y IS NOT NULL").withColumn("phase", F.when(F.year("date") < 1998, "early").otherwise("late"))
     return rows.groupBy("phase", (F.col("x") > 0).alias("rising")).agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg("y")).alias("mean_forward"), rounded(F.avg((F.col("y") > 0).cast("int"))).alias("hit_rate"), rounded(F.regr_slope("y", "x")).alias("slope")

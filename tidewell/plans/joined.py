@@ -150,7 +150,7 @@ def latest_rows(spark, sf_dir):
 
 @query("market_snapshot", f"WITH {BARS}, p AS (SELECT *, lag(close) OVER ({S}) AS before FROM bars) SELECT asset_id, max(date) AS date, arg_max(close, date) AS price, {r('100 * (arg_max(close, date) / arg_max(before, date) - 1)')} AS change_24h, {r('arg_max(volume, date)', '1e2')} AS volume_24h FROM p GROUP BY asset_id")
 def market_snapshot(spark, sf_dir):
-    rows = order_bars(spark, sf_dir).withColumn("before", F.lag("close").over(w.SERIES))
+    rows = order_bars(spark, sf_dir).withColumn("before", F.lag("close").over(w.series()))
     last = rows.groupBy("asset_id").agg(F.max_by(F.struct("date", "close", "before", "volume"), "date").alias("l"))
     return last.select("asset_id", "l.date", F.col("l.close").alias("price"), rounded(100 * (F.col("l.close") / F.col("l.before") - 1)).alias("change_24h"), rounded("l.volume", 1e2).alias("volume_24h"))
 
@@ -165,7 +165,7 @@ def macro_calendar(spark, sf_dir):
 
 @query("ohlc_violations", f"WITH {BARS}, v AS (SELECT *, lag(date) OVER ({S}) AS before FROM bars) SELECT asset_id, count(*) AS n, count(*) FILTER (high < greatest(open, close, low)) AS high_low, count(*) FILTER (low > least(open, close, high)) AS low_high, count(*) FILTER (volume < 0 OR close <= 0) AS not_positive, count(*) FILTER (before >= date) AS unordered FROM v GROUP BY asset_id")
 def ohlc_violations(spark, sf_dir):
-    rows = order_bars(spark, sf_dir).withColumn("before", F.lag("date").over(w.SERIES))
+    rows = order_bars(spark, sf_dir).withColumn("before", F.lag("date").over(w.series()))
     return rows.groupBy("asset_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("high") < F.greatest("open", "close", "low")).alias("high_low"),

@@ -64,7 +64,7 @@ def vol_har(spark, sf_dir):
   stddev_samp(abs(ret)) {over('ROWS BETWEEN 119 PRECEDING AND 30 PRECEDING')} AS before, count(ret) {over('ROWS BETWEEN 119 PRECEDING AND 30 PRECEDING')} AS m FROM rets)
   SELECT {KEY}, {r('now / nullif(before, 0)')} AS ratio FROM v WHERE n = 30 AND m = 90""")
 def vol_of_vol(spark, sf_dir):
-    now, before = w.trailing(30), w.SERIES.rowsBetween(-119, -30)
+    now, before = w.trailing(30), w.series().rowsBetween(-119, -30)
     size = F.abs("ret")
     v = _returns(spark, sf_dir).select(
         "asset_id", "date", F.stddev_samp(size).over(now).alias("now"), F.count("ret").over(now).alias("n"), F.stddev_samp(size).over(before).alias("before"), F.count("ret").over(before).alias("m")
@@ -140,7 +140,7 @@ def rolling_sum_guarded(spark, sf_dir):
 @query("change_k_rows", f"WITH {BARS} SELECT {KEY}, {r(f'close / nullif(lag(close, 30) OVER ({S}), 0) - 1')} AS change30, {r(f'close - lag(close, 7) OVER ({S})', '1e2')} AS difference7 FROM bars")
 def change_k_rows(spark, sf_dir):
     rows = order_bars(spark, sf_dir)
-    return rows.select("asset_id", "date", rounded(w.change("close", 30)).alias("change30"), rounded(F.col("close") - F.lag("close", 7).over(w.SERIES), 1e2).alias("difference7"))
+    return rows.select("asset_id", "date", rounded(w.change("close", 30)).alias("change30"), rounded(F.col("close") - F.lag("close", 7).over(w.series()), 1e2).alias("difference7"))
 
 
 @query("drawdown_running", f"WITH {BARS} SELECT {KEY}, {r(f'close / max(close) {over(_EXP)} - 1')} AS drawdown, CASE WHEN count(close) {last_rows(60)} = 60 THEN {r(f'close / min(close) {last_rows(60)} - 1')} END AS rebound60 FROM bars")
@@ -240,7 +240,7 @@ def rsi_14(spark, sf_dir):
 
 @query("expanding_premium", f"WITH {BARS}, {RET} SELECT {KEY}, {r(f'avg(greatest(-0.05, least(0.05, ret))) {over(_EXP)}')} AS premium FROM rets")
 def expanding_premium(spark, sf_dir):
-    return _out(_returns(spark, sf_dir), premium=F.avg(clamp(F.col("ret"), -0.05, 0.05)).over(w.EXPANDING))
+    return _out(_returns(spark, sf_dir), premium=F.avg(clamp(F.col("ret"), -0.05, 0.05)).over(w.expanding()))
 
 
 @query("indicator_events", f"""WITH {BARS}, b AS (SELECT {KEY}, close, avg(close) {last_rows(20)} AS m, stddev_pop(close) {last_rows(20)} AS s, count(close) {last_rows(20)} AS n FROM bars),
@@ -251,7 +251,7 @@ def indicator_events(spark, sf_dir):
     """Days on which the close comes back inside its bands."""
     bands = w.bollinger("close")
     rows = order_bars(spark, sf_dir).withColumns({"lo": bands["lower"], "hi": bands["upper"]})
-    before = lambda c: F.lag(c).over(w.SERIES)
+    before = lambda c: F.lag(c).over(w.series())
     signal = F.when((before("close") < before("lo")) & (F.col("close") >= F.col("lo")), 1).when((before("close") > before("hi")) & (F.col("close") <= F.col("hi")), -1)
     return rows.withColumn("signal", signal).where("signal IS NOT NULL").select("asset_id", "date", "signal")
 
