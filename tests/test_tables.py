@@ -47,8 +47,8 @@ def test_ledger_shows_changes(spark):
 
 def test_stream_of_files_equals_batch_and_replays_change_nothing(spark, tmp_path):
     source = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    source.repartition(3).write.parquet(str(tmp_path / "in"))
-    source.limit(50).write.mode("append").parquet(str(tmp_path / "in"))  # seen before
+    for days in ("<= 10", "BETWEEN 11 AND 20", "> 20", "> 27"):  # the last ones are seen before
+        source.where(f"day(ts) {days}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = ticks.event_stream(spark, str(tmp_path / "in"), source.schema)
     for _ in range(2):
         ticks.write_bars(stream, str(tmp_path / "bars"), str(tmp_path / "check")).awaitTermination()
