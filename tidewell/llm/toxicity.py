@@ -31,8 +31,6 @@ from tidewell.llm.words import WordHashes, binary_column
 #: Labelled documents that the weights are fitted on, at most.
 TRAIN_TOXIC = 1_000
 TRAIN_CLEAN = 2_000
-#: Words of a document that training takes, at most; the sentences beyond are left out of the fit only.
-TRAIN_WORDS = 2_000
 #: Words must occur in so many training documents, and their share of toxic and of clean documents must differ by so
 #: many standard errors, to get a weight; of the many words seen a few times, chance alone would favour some.
 LEAST_DOCUMENTS = 4
@@ -90,21 +88,17 @@ class _WeightCache(dict):
         return value
 
 
-def _bags(rows: DataFrame, limit: int) -> DataFrame:
-    """doc_id, toxic, words (hashes of features) and sentence (number of each one's sentence), of at most ``limit`` words."""
+def _bags(rows: DataFrame) -> DataFrame:
+    """doc_id, toxic, words (hashes of features) and sentence (number of each one's sentence) of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             hashed, numbers = [], []
             for raw in binary_column(batch, "text"):
-                words, at, taken = [], [], 0
+                words, at = [], []
                 for number, sentence in enumerate(sentences(raw)):
-                    if taken >= limit:
-                        break
-                    unique = sorted(set(sentence))
-                    taken += len(unique)
-                    own = [f for word in unique for f in word_features(word)]
+                    own = [f for word in sorted(set(sentence)) for f in word_features(word)]
                     words += own
                     at += [number] * len(own)
                 hashed.append(cache.of(words).view(np.int64).tolist())
@@ -125,7 +119,7 @@ def train_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], li
     # the chosen ids are at most TRAIN_TOXIC + TRAIN_CLEAN rows
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").coalesce(16)
     words, numbers, toxic = [], [], []
-    for row in _bags(rows, TRAIN_WORDS).toLocalIterator():
+    for row in _bags(rows).toLocalIterator():
         words.append(np.array(row["words"], np.int64).view(np.uint64))
         numbers.append(np.array(row["sentence"], np.int32))
         toxic.append((row["doc_id"], row["toxic"]))
