@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that a Python worker gets together while a table is written: whole texts of a batch are in memory at once.
+BATCH_ROWS = 1_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,14 +33,21 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps start from files, not from lineage.
 
     Nothing reads the shuffle files of that write again, so Spark is told to
-    remove them at its end instead of at some later garbage collection.
+    remove them at its end instead of at some later garbage collection.  Batches
+    for Python workers hold BATCH_ROWS rows meanwhile.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true", _ARROW_ROWS: str(BATCH_ROWS)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
