@@ -381,7 +381,7 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
+@pytest.mark.parametrize("rounds", [3, 1, 0])
 def test_components_match_brute_force(spark, rounds, monkeypatch):
     monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", rounds)
     rnd = random.Random(7 + rounds)

@@ -23,8 +23,9 @@ Sets that share a key are candidates.  Keys with the same members are taken
 once.  In each round, a key's members are verified exactly against one pivot;
 what links is merged, and a key whose members are in one component is done: no
 group is expanded into its pairs.  After the pivot rounds, the pairs left in
-keys with several components are verified one by one, which makes the result
-exact.
+keys with several components are verified one by one, but for those that the
+triangle inequality rules out: their distances from the key's first pivot differ
+by more than linked sets' may.  That makes the result exact.
 
 Shingles are compared as 64-bit hashes, and a set's node is a 64-bit hash.
 Defined results: null, empty or wordless texts have no set and link with
@@ -205,26 +206,28 @@ def member_sets(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text: str
     return settled(made.groupBy("node").agg(F.any_value("shingles").alias("shingles")), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link, compared shingle by shingle."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b), compared shingle by shingle: linked, and far (1 less their similarity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, one, two = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "one", "two"))
-            keep = []
+            linked, far = [], []
             for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = 0
-                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    common = int(np.count_nonzero(x[at] == y))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                common = int(np.count_nonzero(x[at] == y))
+                union = len(x) + len(y) - common
+                linked.append(100 * common >= percent * union)
+                far.append(1 - common / union)
+            yield pa.RecordBatch.from_arrays(
+                [a, b, pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "linked", "far"]
+            )
 
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b"
     )
-    return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean, far double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,10 +254,31 @@ def _ordered(one: Column, two: Column) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def linked_components(groups: DataFrame, sets: DataFrame, percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame | None:
+def _pairs_left(open_rows: DataFrame, far: DataFrame | None, percent: int) -> DataFrame:
+    """The pairs of a key that may still link two components.
+
+    1 less the similarity is a metric, so linked sets are about as far from the
+    key's first pivot as each other: they lie in one step of that distance, or
+    in steps next to each other.
+    """
+    if far is None:
+        side = open_rows.withColumn("far", F.lit(0.0))
+    else:
+        side = open_rows.join(far, ["key", "node"])
+    most = 1 - percent / 100 + 1e-9
+    step = F.floor(F.col("far") / most)
+    other = side.select(
+        "key", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("far").alias("far2"), F.explode(F.array(step - 1, step, step + 1)).alias("step")
+    )
+    met = side.withColumn("step", step).join(other, ["key", "step"])
+    return met.where((F.col("label") < F.col("label2")) & (F.abs(F.col("far") - F.col("far2")) <= most)).select(*_ordered(F.col("node"), F.col("node2")))
+
+
+def linked_components(groups: DataFrame, sets: DataFrame, percent: int, pivot_rounds: int) -> DataFrame | None:
     """node, label for every set that links with another one; None if none does."""
     labels: DataFrame | None = None
     tested: DataFrame | None = None
+    far: DataFrame | None = None
     for number in range(pivot_rounds + 1):
         placed = settled(_with_component(groups, labels), "placed")
         mixed = placed.groupBy("key").agg(
@@ -264,9 +288,7 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int = PERCENT
         if number < pivot_rounds:
             pairs = open_rows.where(F.col("label") != F.col("pivot.label")).select(*_ordered(F.col("node"), F.col("pivot.node")))
         else:
-            side = open_rows.select("key", "node", "label")
-            other = side.withColumnsRenamed({"node": "node2", "label": "label2"})
-            pairs = side.join(other, "key").where("label < label2").select(*_ordered(F.col("node"), F.col("node2")))
+            pairs = _pairs_left(open_rows.select("key", "node", "label"), far, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -274,7 +296,11 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int = PERCENT
         if not pairs.limit(1).count():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = settled(verified(pairs, sets, percent), "links")
+        made = settled(compared(pairs, sets, percent), "links")
+        if tested is pairs and number < pivot_rounds:  # every member of every key has met the key's pivot
+            ends = open_rows.select("key", "node", *_ordered(F.col("node"), F.col("pivot.node")))
+            far = settled(ends.join(made, ["a", "b"], "left").select("key", "node", F.coalesce("far", F.lit(0.0)).alias("far")), "far")
+        edges = made.where("linked").select("a", "b")
         if not edges.limit(1).count():
             continue
         if labels is None:
@@ -296,7 +322,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     """doc_id, n_shingles, component_id: the least doc_id that links reach from each document."""
     nodes = settled(set_nodes(docs, text, key), "nodes")
     groups = candidate_groups(node_keys(docs, percent, text), percent)
-    labels = linked_components(groups, member_sets(docs, nodes, groups, text, key), percent)
+    labels = linked_components(groups, member_sets(docs, nodes, groups, text, key), percent, PIVOT_ROUNDS)
     own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "label", "left").select(
