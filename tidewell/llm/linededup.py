@@ -4,12 +4,18 @@ Lines are parsed as a fixed-depth tree parses log messages: fields that hold a
 digit become ``<*>``; the first level is the number of tokens, the next DEPTH
 levels are the leading tokens; these make a leaf.  In a leaf that enough
 documents reach, a token that enough documents have at its position is constant
-and any other one is a variable field, ``<*>`` too.  Lines of a leaf with the
-same constants share a template, if at least SIMILAR of their tokens are
-constant.  A template that occurs in LEAST_DOCUMENTS different texts or more is
-boilerplate: its lines are dropped from every document but the first (the least
+and any other one is a variable field, ``<*>`` too.  The best supported set of
+constants of a leaf, at least SIMILAR of a line's tokens, is a template; lines
+that agree with it on SIMILAR of their tokens belong to it, so each may have
+its field at another position; the sets left over make further templates.  A
+template that occurs in LEAST_DOCUMENTS different texts or more is boilerplate:
+its lines, and those of other leaves (a field among the leading tokens) that
+agree with it so, are dropped from every document but the first (the least
 doc_id), so no passage leaves the corpus altogether.
 
+Agreement is by position, so lines differ in words, not in their number.  A
+template must recur in one leaf to be found.
+
 Copies of a whole text count once, so a copied document is not boilerplate by
 itself.  Leaves are counted first, so that only lines of leaves that recur are
 masked and kept; tokens are exploded for distinct lines only: a line in a third
@@ -37,6 +43,8 @@ LEAST_DOCUMENTS = 5
 LEAST_TOKENS = 4
 #: Leaves up to this many are broadcast (8 bytes each).
 BROADCAST_LEAVES = 1_000_000
+#: Templates, or runs of them, up to this many are broadcast (with the hashes of their tokens).
+BROADCAST_TEMPLATES = 50_000
 WILDCARD = "<*>"
 
 
@@ -64,8 +72,18 @@ def lines_of_leaves(lines: DataFrame, leaves: DataFrame, broadcast_leaves: int =
     return known.withColumn("shape", F.xxhash64("tokens"))
 
 
-def recurring_shapes(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
-    """shape, template, first_doc, texts: masked lines of the templates that recur in at least ``least_documents`` texts."""
+def marks_of(tokens: Column) -> Column:
+    """One hash for each position and its token."""
+    return F.transform(tokens, lambda t, p: F.xxhash64(p, t))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast, if it has up to ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def constant_sets(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
+    """leaf, shape, texts, n_tokens, tokens (null where variable), marks, set (a hash of leaf and marks): masked lines with enough constants."""
     # one row for each distinct masked line
     distinct = settled(
         known.groupBy("leaf", "shape").agg(F.any_value("tokens").alias("tokens"), F.countDistinct("digest").alias("texts")), "shapes"
@@ -73,21 +91,74 @@ def recurring_shapes(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
     placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
     constants = placed.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("support")).where(F.col("support") >= least_documents)
     fixed = placed.join(constants.drop("support"), ["leaf", "pos", "token"]).where(F.col("token") != WILDCARD)
-    templates = (
+    marks = (
         fixed.groupBy("leaf", "shape", "n_tokens")
-        .agg(F.count(F.lit(1)).alias("n_fixed"), F.xxhash64(F.array_sort(F.collect_list(F.struct("pos", "token")))).alias("marks"))
-        .where(F.col("n_fixed") >= similar * F.col("n_tokens"))
-        .select("shape", F.xxhash64("leaf", "marks").alias("template"))
+        .agg(F.array_sort(F.collect_list(F.xxhash64("pos", "token"))).alias("marks"))
+        .where(F.size("marks") >= similar * F.col("n_tokens"))
     )
-    templates = settled(templates, "templates")
-    recurring = (
-        known.select("shape", "digest", "doc_id")
-        .join(templates, "shape")
-        .groupBy("template")
-        .agg(F.countDistinct("digest").alias("texts"), F.min("doc_id").alias("first_doc"))
-        .where(F.col("texts") >= least_documents)
+    constant = F.transform("tokens", lambda t, p: F.when(F.array_contains(F.col("marks"), F.xxhash64(p, t)), t))
+    return marks.join(distinct, ["leaf", "shape"]).select(
+        "leaf", "shape", "texts", "n_tokens", constant.alias("tokens"), "marks", F.xxhash64("leaf", "marks").alias("set")
     )
-    return templates.join(recurring, "template").select("shape", "template", "first_doc", "texts")
+
+
+def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
+    """set, template: in each leaf the best supported set left is a template, and takes the sets that agree with it; again, until none is left.
+
+    A round compares a set with one template, so its rows do not grow with the
+    square of a leaf.  A leaf ends where too few texts are left to recur.
+    """
+    left = settled(sets.groupBy("leaf", "set", "n_tokens", "marks").agg(F.sum("texts").alias("texts")), "sets")
+    found = None
+    while True:
+        best = F.max(F.struct("texts", F.size("marks").alias("n_fixed"), "set", "marks")).alias("best")
+        leaders = left.groupBy("leaf").agg(best, F.sum("texts").alias("all")).where(F.col("all") >= least_documents)
+        leaders = settled(leaders.select("leaf", F.col("best.set").alias("template"), F.col("best.marks").alias("its")), "leaders")
+        agrees = F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens")
+        met = settled(left.join(small(leaders, BROADCAST_TEMPLATES), "leaf").withColumn("agrees", agrees), "round")
+        taken = met.where("agrees").select("set", "template")
+        found = taken if found is None else found.unionByName(taken)
+        left = met.where(~F.col("agrees")).select(*left.columns)
+        if left.isEmpty():
+            return found
+
+
+def runs_of(tokens: Column, similar: float = SIMILAR) -> Column:
+    """Hashes of the runs of tokens, null for those with a null: one more run than tokens may differ, so lines that agree share a run."""
+    n = F.size(tokens)
+    n_runs = n - F.ceil(similar * n) + 1
+    at = lambda i: F.floor(i * n / n_runs).cast("int")
+    run = lambda i: F.slice(tokens, at(i) + 1, at(i + 1) - at(i))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), lambda i: F.when(~F.exists(run(i), F.isnull), F.xxhash64(n, i, run(i))))
+
+
+def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line."""
+    runs = templates.select("template", "texts", F.col("marks").alias("its"), F.explode(runs_of(F.col("tokens"), similar)).alias("run")).where("run IS NOT NULL")
+    runs = small(settled(runs, "runs"), BROADCAST_TEMPLATES)
+    met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).join(runs, "run")
+    agrees = F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")
+    return met.where(agrees).select("doc_id", "digest", "line_no", "template", "texts")
+
+
+def recurring_lines(
+    lines: DataFrame, known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR
+) -> DataFrame:
+    """doc_id, digest, line_no, first_doc: the lines of templates that recur in at least ``least_documents`` texts."""
+    sets = settled(constant_sets(known, least_documents, similar), "constants")
+    templates = templates_of_sets(sets, least_documents, similar)
+    shapes = settled(sets.select("leaf", "shape", "set").join(templates, "set").select("shape", "template"), "templates")
+    own = known.select("doc_id", "digest", "line_no", "shape").join(shapes, "shape").drop("shape")
+    texts = own.groupBy("template").agg(F.countDistinct("digest").alias("texts")).where(F.col("texts") >= least_documents)
+    heads = sets.groupBy(F.col("set").alias("template")).agg(F.any_value("tokens").alias("tokens"), F.any_value("marks").alias("marks"))
+    recurring = settled(texts.join(heads, "template"), "recurring")
+    own = own.join(small(recurring.select("template", "texts"), BROADCAST_TEMPLATES), "template").withColumn("own", F.lit(True))
+    other = lines_that_agree(lines, recurring, similar).withColumn("own", F.lit(False))
+    # a line's template of its own leaf comes first, then the best supported one
+    line = own.unionByName(other).groupBy("doc_id", "digest", "line_no").agg(F.max(F.struct("own", "texts", "template")).alias("best"))
+    line = settled(line.select("doc_id", "digest", "line_no", F.col("best.template").alias("template")), "placed")
+    first = line.groupBy("template").agg(F.min("doc_id").alias("first_doc"))
+    return line.join(small(settled(first, "first"), BROADCAST_LEAVES), "template").drop("template")
 
 
 def drop_recurring_lines(
@@ -97,10 +168,8 @@ def drop_recurring_lines(
     lines = document_lines(docs, text, key)
     leaves = lines.groupBy("leaf").agg(F.countDistinct("digest").alias("n")).where(F.col("n") >= least_documents).select("leaf")
     known = settled(lines_of_leaves(lines, settled(leaves, "leaves")), "known")
-    shapes = settled(recurring_shapes(known, least_documents, similar), "recurring")
     gone = (
-        known.select("doc_id", "digest", "line_no", "shape")
-        .join(shapes, "shape")
+        recurring_lines(lines, known, least_documents, similar)
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
         .agg(F.collect_set("line_no").alias("_gone"))
