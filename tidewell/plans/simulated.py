@@ -139,5 +139,5 @@ def stream_equals_batch(spark, sf_dir):
     root = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = table(spark, sf_dir, "events")
     stream = ticks.event_stream(spark, f"{sf_dir}/[e]vents.parquet", source.schema)
-    ticks.write_bars(stream, f"{root}/bars", f"{root}/checkpoint").awaitTermination()
+    ticks.write_bars(stream, f"{root}/bars", f"{root}/checkpoint", late=None).awaitTermination()
     return ticks.stored_bars(spark, f"{root}/bars")

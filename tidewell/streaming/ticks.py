@@ -44,13 +44,18 @@ def session_counts(ticks: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return ticks.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def write_bars(ticks: DataFrame, table: str, checkpoint: str):
-    """Keep a bar table up to date: each micro-batch upserts the bars that it changed, so a replayed batch changes nothing."""
+def write_bars(ticks: DataFrame, table: str, checkpoint: str, late: str | None = LATE):
+    """Keep a bar table up to date: each micro-batch upserts the bars that it changed, so a replayed batch changes nothing.
+
+    Live ticks count once each and may come ``late``.  Without ``late`` every row
+    counts, in whatever order the files hold them: no watermark drops a row, and
+    the state keeps all bars (one row for each event type and day).
+    """
 
     def merge(batch: DataFrame, _: int) -> None:
         upsert_table(table, batch, ["asset_id", "date"])
 
-    stream = bars(deduplicated(ticks)).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    stream = bars(deduplicated(ticks, late) if late else ticks).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return stream.foreachBatch(merge).trigger(availableNow=True).start()
 
 
