@@ -298,6 +298,14 @@ def test_words_edited_at_different_positions_share_a_template(spark):
     assert {i for i, n in got.items() if not n} == {0, 40, 48, 49}
 
 
+def test_long_passages_recur_from_two_texts(spark):
+    line = lambda n, k: " ".join(f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
+    long, short = line(51, "l"), line(50, "s")
+    texts = [f"own{i}\n{x}" for i, x in enumerate([long, short, long.replace("lbb", "edited"), *[short] * 3, line(51, "n")])]
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert {i for i, n in got.items() if n} == {2}
+
+
 # toxicity
 
 

@@ -8,8 +8,8 @@ and any other one is a variable field, ``<*>`` too.  The best supported set of
 constants of a leaf, at least SIMILAR of a line's tokens, is a template; lines
 that agree with it on SIMILAR of their tokens belong to it, so each may have
 its field at another position; the sets left over make further templates.  A
-template that occurs in LEAST_DOCUMENTS different texts or more is boilerplate:
-its lines, and those of other leaves (a field among the leading tokens) that
+template that occurs in LEAST_DOCUMENTS different texts or more, or one of more
+than LONG_TOKENS tokens in LEAST_LONG texts or more, is boilerplate: its lines, and those of other leaves (a field among the leading tokens) that
 agree with it so, are dropped from every document but the first (the least
 doc_id), so no passage leaves the corpus altogether.
 
@@ -40,11 +40,16 @@ DEPTH = 3
 SIMILAR = 0.7
 #: Different texts in which a template is boilerplate.
 LEAST_DOCUMENTS = 5
+#: Lines of more tokens than this are boilerplate in LEAST_LONG different texts.
+LONG_TOKENS = 50
+LEAST_LONG = 2
 LEAST_TOKENS = 4
 #: Leaves up to this many are broadcast (8 bytes each).
 BROADCAST_LEAVES = 1_000_000
-#: Templates, or runs of them, up to this many are broadcast (with the hashes of their tokens).
+#: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
+#: Runs of templates up to this many are broadcast (16 bytes each).
+BROADCAST_RUNS = 2_000_000
 WILDCARD = "<*>"
 
 
@@ -72,6 +77,11 @@ def lines_of_leaves(lines: DataFrame, leaves: DataFrame, broadcast_leaves: int =
     return known.withColumn("shape", F.xxhash64("tokens"))
 
 
+def enough_texts(n_tokens: Column, least_documents: int = LEAST_DOCUMENTS) -> Column:
+    """Different texts in which a template of so many tokens is boilerplate."""
+    return F.when(n_tokens > LONG_TOKENS, min(LEAST_LONG, least_documents)).otherwise(least_documents)
+
+
 def marks_of(tokens: Column) -> Column:
     """One hash for each position and its token."""
     return F.transform(tokens, lambda t, p: F.xxhash64(p, t))
@@ -89,8 +99,9 @@ def constant_sets(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, simi
         known.groupBy("leaf", "shape").agg(F.any_value("tokens").alias("tokens"), F.countDistinct("digest").alias("texts")), "shapes"
     )
     placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
-    constants = placed.groupBy("leaf", "pos", "token").agg(F.sum("texts").alias("support")).where(F.col("support") >= least_documents)
-    fixed = placed.join(constants.drop("support"), ["leaf", "pos", "token"]).where(F.col("token") != WILDCARD)
+    support = placed.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("texts").alias("support"))
+    constants = support.where(F.col("support") >= enough_texts(F.col("n_tokens"), least_documents))
+    fixed = placed.join(constants.drop("support", "n_tokens"), ["leaf", "pos", "token"]).where(F.col("token") != WILDCARD)
     marks = (
         fixed.groupBy("leaf", "shape", "n_tokens")
         .agg(F.array_sort(F.collect_list(F.xxhash64("pos", "token"))).alias("marks"))
@@ -112,7 +123,7 @@ def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
     found = None
     while True:
         best = F.max(F.struct("texts", F.size("marks").alias("n_fixed"), "set", "marks")).alias("best")
-        leaders = left.groupBy("leaf").agg(best, F.sum("texts").alias("all")).where(F.col("all") >= least_documents)
+        leaders = left.groupBy("leaf", "n_tokens").agg(best, F.sum("texts").alias("all")).where(F.col("all") >= enough_texts(F.col("n_tokens"), least_documents))
         leaders = settled(leaders.select("leaf", F.col("best.set").alias("template"), F.col("best.marks").alias("its")), "leaders")
         agrees = F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens")
         met = settled(left.join(small(leaders, BROADCAST_TEMPLATES), "leaf").withColumn("agrees", agrees), "round")
@@ -134,26 +145,33 @@ def runs_of(tokens: Column, similar: float = SIMILAR) -> Column:
 
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line."""
-    runs = templates.select("template", "texts", F.col("marks").alias("its"), F.explode(runs_of(F.col("tokens"), similar)).alias("run")).where("run IS NOT NULL")
-    runs = small(settled(runs, "runs"), BROADCAST_TEMPLATES)
+    runs = templates.select("template", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).where("run IS NOT NULL")
+    runs = small(settled(runs, "runs"), BROADCAST_RUNS)
     met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).join(runs, "run")
+    its = templates.select("template", "texts", F.col("marks").alias("its"))
     agrees = F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")
+    met = met.drop("run").distinct().join(its, "template")
     return met.where(agrees).select("doc_id", "digest", "line_no", "template", "texts")
 
 
 def recurring_lines(
-    lines: DataFrame, known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR
+    lines: DataFrame, leaves: DataFrame, known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR
 ) -> DataFrame:
-    """doc_id, digest, line_no, first_doc: the lines of templates that recur in at least ``least_documents`` texts."""
+    """doc_id, digest, line_no, first_doc: the lines of templates that recur in at least ``least_documents`` texts, long ones in LEAST_LONG."""
     sets = settled(constant_sets(known, least_documents, similar), "constants")
     templates = templates_of_sets(sets, least_documents, similar)
     shapes = settled(sets.select("leaf", "shape", "set").join(templates, "set").select("shape", "template"), "templates")
     own = known.select("doc_id", "digest", "line_no", "shape").join(shapes, "shape").drop("shape")
-    texts = own.groupBy("template").agg(F.countDistinct("digest").alias("texts")).where(F.col("texts") >= least_documents)
+    texts = own.groupBy("template").agg(F.countDistinct("digest").alias("texts"))
     heads = sets.groupBy(F.col("set").alias("template")).agg(F.any_value("tokens").alias("tokens"), F.any_value("marks").alias("marks"))
-    recurring = settled(texts.join(heads, "template"), "recurring")
-    own = own.join(small(recurring.select("template", "texts"), BROADCAST_TEMPLATES), "template").withColumn("own", F.lit(True))
-    other = lines_that_agree(lines, recurring, similar).withColumn("own", F.lit(False))
+    recurs = F.col("texts") >= enough_texts(F.size("tokens"), least_documents)
+    recurring = settled(texts.join(heads, "template").where(recurs), "recurring")
+    own = own.join(small(recurring.select("template", "texts"), BROADCAST_LEAVES), "template").withColumn("own", F.lit(True))
+    own_shapes = small(settled(shapes.join(recurring, "template").select("shape"), "own"), BROADCAST_LEAVES)
+    columns = ("doc_id", "digest", "line_no", "tokens")
+    rare = lines.join(small(leaves, BROADCAST_LEAVES), "leaf", "left_anti").select(*columns)
+    unplaced = rare.unionByName(known.join(own_shapes, "shape", "left_anti").select(*columns))
+    other = lines_that_agree(unplaced, recurring, similar).withColumn("own", F.lit(False))
     # a line's template of its own leaf comes first, then the best supported one
     line = own.unionByName(other).groupBy("doc_id", "digest", "line_no").agg(F.max(F.struct("own", "texts", "template")).alias("best"))
     line = settled(line.select("doc_id", "digest", "line_no", F.col("best.template").alias("template")), "placed")
@@ -166,10 +184,12 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents with their own columns, the text without its recurring lines, and n_lines and n_dropped."""
     lines = document_lines(docs, text, key)
-    leaves = lines.groupBy("leaf").agg(F.countDistinct("digest").alias("n")).where(F.col("n") >= least_documents).select("leaf")
-    known = settled(lines_of_leaves(lines, settled(leaves, "leaves")), "known")
+    leaves = lines.groupBy("leaf", F.size("tokens").alias("n_tokens")).agg(F.countDistinct("digest").alias("n"))
+    leaves = leaves.where(F.col("n") >= enough_texts(F.col("n_tokens"), least_documents)).select("leaf")
+    leaves = settled(leaves, "leaves")
+    known = settled(lines_of_leaves(lines, leaves), "known")
     gone = (
-        recurring_lines(lines, known, least_documents, similar)
+        recurring_lines(lines, leaves, known, least_documents, similar)
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
         .agg(F.collect_set("line_no").alias("_gone"))
