@@ -418,6 +418,24 @@ def test_components_match_brute_force(spark, rounds, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_components_of_copies_about_the_threshold(spark):
+    """Copies of one text with one to four other words lie on both sides of the threshold; a text of 30,000 words stands beside them."""
+    rnd = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base = [rnd.choice(vocabulary) for _ in range(70)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(1 + i % 4):
+            words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        texts.append(" ".join(words[: rnd.choice([70, 70, 66, 62])]))
+    long = [rnd.choice(vocabulary) for _ in range(30_000)]
+    texts += [" ".join(long), " ".join([*long[:29_000], "tail"]), " ".join(long[:20_000])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    want = brute_components(texts)
+    assert got == want and len(set(c for _, c in want.values())) > 10
+
+
 def test_first_of_each_keeps_columns_and_clean_rows(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = docs_of(spark, [text, text, text + " tail", "another text with some words", None, ""], extra=True)

@@ -19,13 +19,21 @@ shingle universe is hashed into segments:
   each whole segment and under each segment less one shingle, so segments that
   differ in one shingle meet.
 
-Sets that share a key are candidates.  Keys with the same members are taken
+The sets that still share a key with another one are the survivors; most sets
+have no near neighbour and end here.  For survivors the segments are split down
+to single shingles, and costs are counted again among them: linked sets of n1
+and n2 shingles have a = ceil(0.8 (n1 + n2) / 1.8) in common, so each of them
+may leave out its a - 1 costliest shingles, and the rest still share one.  A
+copy whose own changes fill that rest meets nobody, however many copies there
+are of the text that it was made from.
+
+Sets that share such a key are candidates.  Keys with the same members are taken
 once.  In each round, a key's members are verified exactly against one pivot;
 what links is merged, and a key whose members are in one component is done: no
 group is expanded into its pairs.  After the pivot rounds, the pairs left in
-keys with several components are verified one by one, but for those that the
-triangle inequality rules out: their distances from the key's first pivot differ
-by more than linked sets' may.  That makes the result exact.
+keys with several components are verified one by one, but only where both sets
+hold the key outside the a - 1 costliest for their two sizes, as they must in
+the rarest key that they share.  That makes the result exact.
 
 Shingles are compared as 64-bit hashes, and a set's node is a 64-bit hash.
 Defined results: null, empty or wordless texts have no set and link with
@@ -52,8 +60,10 @@ SHINGLE = 5
 PERCENT = 80
 #: Bands with at most so many differences use one-deletion neighbourhoods.
 SMALL = 3
+#: Sets that a task remembers, so that copies next to each other give their keys once.
+SEEN_NODES = 50_000
 #: Rounds with a pivot for each key before the pairs that are left.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def _bands(percent: int) -> tuple[list[int], list[int], list[int], list[int]]:
@@ -130,6 +140,8 @@ def node_keys(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> Da
                 node = node_of(shingles)
                 if not len(shingles) or node in seen:
                     continue
+                if len(seen) >= SEEN_NODES:
+                    seen.clear()  # a set that comes again is made distinct below
                 seen.add(node)
                 own = int(np.searchsorted(first, len(shingles), "right")) - 1
                 for band in (own, own - 1):
@@ -149,8 +161,8 @@ def node_keys(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> Da
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, node long, band short")
 
 
-def candidate_groups(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """key, node: members of each key that is left, after every set has dropped the keys that cost most."""
+def survivors(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node: the sets that share a key, after every set has dropped the keys that cost most."""
     _, _, spare, _ = _bands(percent)
     dealt = keys.where("key IS NOT NULL AND band IS NOT NULL").repartition("key")
     # reads all columns, so that this and the join below share one exchange
@@ -168,20 +180,44 @@ def candidate_groups(keys: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("key", "node")
     )
     left = settled(left, "keys")
+    met = left.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    return settled(left.join(met.select("key"), "key", "left_semi").select("node").distinct(), "survivors")
+
+
+def candidate_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key, node, n, place: the members of each key that is left of the sets' single shingles.
+
+    place counts a set's shingles from the costliest one; a set keeps those from
+    the place ceil(percent * n / 100) on, which is the least that linked sets
+    have in common with it.  Keys with the same members are one key, at the
+    highest place that each of them has there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(keys), np.int32))], names=["key", "node", "n"]
+                )
+
+    dealt = sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int").where("key IS NOT NULL").repartition("key")
+    shared = dealt.groupBy("key").agg(F.count("node").alias("cost"), F.max("n").alias("most")).where("cost > 1 AND most > 0").select("key", "cost")
+    dear = Window.partitionBy("node").orderBy(F.desc("cost"), "key")
+    left = dealt.join(shared, "key").withColumn("place", F.row_number().over(dear)).where(F.col("place") * 100 >= F.col("n") * percent)
+    left = settled(left.select("key", "node", "n", "place"), "places")
     scrambled = F.xxhash64("node")
-    members = left.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("node").alias("low"),
-        F.max("node").alias("high"),
-        F.bit_xor(scrambled).alias("mark"),
-        F.bit_xor(F.xxhash64(scrambled, F.lit(1))).alias("mark2"),
-    )
-    chosen = members.where("n > 1").groupBy("n", "low", "high", "mark", "mark2").agg(F.min("key").alias("key")).select("key")
-    return settled(left.join(chosen, "key", "left_semi"), "groups")
+    members = left.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(scrambled).alias("mark"), F.bit_xor(F.xxhash64(scrambled, F.lit(1))).alias("mark2"))
+    # groups that two marks can't tell apart become one group, which only compares more
+    one = left.join(members.where("members > 1"), "key").withColumn("key", F.xxhash64("mark", "mark2"))
+    groups = one.groupBy("key", "node").agg(F.max("n").alias("n"), F.max("place").alias("place"))
+    # a set that is too far up its key for even the key's smallest set links with nobody there
+    least = groups.groupBy("key").agg(F.min("n").alias("least"))
+    return settled(groups.join(least, "key").where(_may_link(F.col("n"), F.col("place"), F.col("least"), F.col("place"), percent)).drop("least"), "groups")
 
 
-def member_sets(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """node, shingles (sorted, packed) of the sets that are in a group, from one document each."""
+def member_sets(docs: DataFrame, nodes: DataFrame, wanted_nodes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """node, shingles (sorted, packed) of the wanted sets, from one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -195,9 +231,9 @@ def member_sets(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text: str
         nodes.where("doc_id IS NOT NULL")
         .groupBy("node")
         .agg(F.min("doc_id").alias("doc_id"))
-        .join(groups.select("node").distinct(), "node", "left_semi")
+        .join(wanted_nodes, "node", "left_semi")
     )
-    unnamed = nodes.where("doc_id IS NULL").select("node").join(groups, "node", "left_semi").limit(1).count()
+    unnamed = nodes.where("doc_id IS NULL").select("node").join(wanted_nodes, "node", "left_semi").limit(1).count()
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kept = source.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     if unnamed:
@@ -207,27 +243,24 @@ def member_sets(docs: DataFrame, nodes: DataFrame, groups: DataFrame, text: str
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b), compared shingle by shingle: linked, and far (1 less their similarity)."""
+    """The pairs (a, b), compared shingle by shingle: linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, one, two = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "one", "two"))
-            linked, far = [], []
+            linked = []
             for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 common = int(np.count_nonzero(x[at] == y))
                 union = len(x) + len(y) - common
                 linked.append(100 * common >= percent * union)
-                far.append(1 - common / union)
-            yield pa.RecordBatch.from_arrays(
-                [a, b, pa.array(linked, pa.bool_()), pa.array(far, pa.float64())], names=["a", "b", "linked", "far"]
-            )
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b"
     )
-    return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean, far double")
+    return joined.select("a", "b", "one", "two").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,41 +287,38 @@ def _ordered(one: Column, two: Column) -> list[Column]:
     return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
-def _pairs_left(open_rows: DataFrame, far: DataFrame | None, percent: int) -> DataFrame:
-    """The pairs of a key that may still link two components.
+def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
+    """Whether a key may be the rarest one that two linked sets share: both hold it at the place of their least overlap or later."""
+    return F.least(place, other_place) * (100 + percent) >= (n + other_n) * percent
 
-    1 less the similarity is a metric, so linked sets are about as far from the
-    key's first pivot as each other: they lie in one step of that distance, or
-    in steps next to each other.
-    """
-    if far is None:
-        side = open_rows.withColumn("far", F.lit(0.0))
-    else:
-        side = open_rows.join(far, ["key", "node"])
-    most = 1 - percent / 100 + 1e-9
-    step = F.floor(F.col("far") / most)
-    other = side.select(
-        "key", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("far").alias("far2"), F.explode(F.array(step - 1, step, step + 1)).alias("step")
-    )
-    met = side.withColumn("step", step).join(other, ["key", "step"])
-    return met.where((F.col("label") < F.col("label2")) & (F.abs(F.col("far") - F.col("far2")) <= most)).select(*_ordered(F.col("node"), F.col("node2")))
+
+def _pairs_left(open_rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a key that may still link two components."""
+    other = open_rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("node", "label", "n", "place")))
+    met = open_rows.join(other, "key").where((F.col("label") < F.col("label2")) & _may_link(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), percent))
+    return met.select(*_ordered(F.col("node"), F.col("node2")))
 
 
 def linked_components(groups: DataFrame, sets: DataFrame, percent: int, pivot_rounds: int) -> DataFrame | None:
-    """node, label for every set that links with another one; None if none does."""
+    """node, label for every set that links with another one; None if none does.
+
+    The first pivot of a key is the member with the most common shingles, later
+    ones are drawn by a hash.
+    """
     labels: DataFrame | None = None
     tested: DataFrame | None = None
-    far: DataFrame | None = None
     for number in range(pivot_rounds + 1):
         placed = settled(_with_component(groups, labels), "placed")
+        order = F.xxhash64("node", F.lit(number)) if number else F.struct(-F.col("place"), F.xxhash64("node"))
         mixed = placed.groupBy("key").agg(
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(number))).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")
+            F.min_by(F.struct("node", "label", "n", "place"), order).alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")
         ).where("low <> high")
         open_rows = placed.join(mixed, "key")
         if number < pivot_rounds:
-            pairs = open_rows.where(F.col("label") != F.col("pivot.label")).select(*_ordered(F.col("node"), F.col("pivot.node")))
+            may = _may_link(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"), percent)
+            pairs = open_rows.where((F.col("label") != F.col("pivot.label")) & may).select(*_ordered(F.col("node"), F.col("pivot.node")))
         else:
-            pairs = _pairs_left(open_rows.select("key", "node", "label"), far, percent)
+            pairs = _pairs_left(open_rows.select("key", "node", "label", "n", "place"), percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -297,9 +327,6 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int, pivot_ro
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         made = settled(compared(pairs, sets, percent), "links")
-        if tested is pairs and number < pivot_rounds:  # every member of every key has met the key's pivot
-            ends = open_rows.select("key", "node", *_ordered(F.col("node"), F.col("pivot.node")))
-            far = settled(ends.join(made, ["a", "b"], "left").select("key", "node", F.coalesce("far", F.lit(0.0)).alias("far")), "far")
         edges = made.where("linked").select("a", "b")
         if not edges.limit(1).count():
             continue
@@ -321,8 +348,8 @@ def linked_components(groups: DataFrame, sets: DataFrame, percent: int, pivot_ro
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id that links reach from each document."""
     nodes = settled(set_nodes(docs, text, key), "nodes")
-    groups = candidate_groups(node_keys(docs, percent, text), percent)
-    labels = linked_components(groups, member_sets(docs, nodes, groups, text, key), percent, PIVOT_ROUNDS)
+    sets = member_sets(docs, nodes, survivors(node_keys(docs, percent, text), percent), text, key)
+    labels = linked_components(candidate_groups(sets, percent), sets, percent, PIVOT_ROUNDS)
     own = nodes.withColumn("label", F.col("node")) if labels is None else nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = own.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "label", "left").select(

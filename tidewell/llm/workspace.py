@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows that a Python worker gets together while a table is written: whole texts of a batch are in memory at once.
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Rows, and about the bytes, that a Python worker gets together while a table is written: whole texts of a batch are in memory at once.
 BATCH_ROWS = 1_000
+BATCH_BYTES = 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,11 +36,11 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
     Nothing reads the shuffle files of that write again, so Spark is told to
     remove them at its end instead of at some later garbage collection.  Batches
-    for Python workers hold BATCH_ROWS rows meanwhile.
+    for Python workers hold BATCH_ROWS rows or some BATCH_BYTES meanwhile.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    wanted = {_CLEANUP: "true", _ARROW_ROWS: str(BATCH_ROWS)}
+    wanted = {_CLEANUP: "true", _ARROW_ROWS: str(BATCH_ROWS), _ARROW_BYTES: str(BATCH_BYTES)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
