@@ -128,20 +128,49 @@ def test_chat_offsets_point_at_the_loss(spark):
 
 def test_shards_keep_every_row_and_versions(spark, tmp_path):
     texts = ["t" * (i * 37 % 900) for i in range(700)]
-    docs = docs_of(spark, texts).unionByName(spark.createDataFrame([(None, None, None, None, None), (5, "t", "en", "s", 1)], DOCS))
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, "t", "en", "s", 1)], DOCS)
+    docs = docs_of(spark, texts).unionByName(odd).withColumns({c: F.lit(f"own {c}") for c in ("run", "_shard", "shard", "arrival", "part", "parts", "old", "folder")})
     store = sharding.ShardStore(spark, str(tmp_path / "s"))
     assert store.append(docs) == 1
-    assert store.append(docs_of(spark, ["late"]).withColumn("doc_id", F.lit(10_000).cast("long"))) == 2
+    late = docs.where("doc_id = 0").withColumn("doc_id", F.lit(10_000).cast("long"))
+    assert store.append(late) == 2
     small = store.manifest().count()
-    assert store.compact(target_bytes=1_000_000, like=docs) == 3
+    assert store.compact(target_bytes=1_000_000) == 3
     assert store.versions() == [1, 2, 3]
     assert store.manifest().count() < small
-    rows = store.rows(like=docs).drop("_shard")
-    assert rows.count() == len(texts) + 3
-    assert rows.exceptAll(docs).count() == 1
-    assert store.rows(store.manifest(1), like=docs).count() == len(texts) + 2  # an old version stays readable
+    rows = store.rows()
+    assert rows.columns == docs.columns and rows.count() == len(texts) + 3
+    assert rows.exceptAll(docs).count() == 1 and docs.exceptAll(rows).count() == 0
+    assert store.rows(store.manifest(1)).exceptAll(docs).count() == 0  # an old version stays readable
+    before = {(r.shard, r.folder) for r in store.manifest().collect()}
+    assert store.compact(target_bytes=1_000_000) == 3  # nothing to merge: nothing is written
+    assert store.append(late) == 4 and before < {(r.shard, r.folder) for r in store.manifest().collect()}
+    assert store.rows(shard="its").select("its").distinct().count() == store.manifest().count()
+    with pytest.raises(ValueError):
+        store.rows(shard="Run")
+
+
+def test_one_of_two_writers_of_a_version_fails(spark, tmp_path):
+    docs = docs_of(spark, ["a", "b"])
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "r")) for _ in range(2))
+    one.append(docs)
+    added = one.manifest()
+    two.commit(added, 2, docs.schema)  # both have read version 1
     with pytest.raises(RuntimeError):
-        store.commit(store.manifest(), 3)
+        one.commit(added.where("false"), 2, docs.schema)
+    assert one.versions() == [1, 2] and one.rows().count() == 2
+
+
+def test_full_shards_stay_and_common_arrivals_are_split(spark, tmp_path):
+    docs = docs_of(spark, ["x" * 1000] * 300).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    store = sharding.ShardStore(spark, str(tmp_path / "f"))
+    store.append(docs, target_bytes=20_000)
+    sizes = [r.n_bytes for r in store.manifest().collect()]
+    assert len(sizes) > 10 and max(sizes) < 40_000 and sum(sizes) == 300_000
+    full = {r.folder + str(r.shard) for r in store.manifest().where("n_bytes >= 10000").collect()}
+    store.compact(target_bytes=20_000)
+    assert full <= {r.folder + str(r.shard) for r in store.manifest().collect()}
+    assert store.rows().exceptAll(docs).count() == 0 and store.rows().count() == 300
 
 
 def test_shard_tiers(spark):
@@ -154,7 +183,9 @@ def test_sharding_empty_table(spark, tmp_path):
     docs = docs_of(spark, ["x"]).where("false")
     store = sharding.ShardStore(spark, str(tmp_path / "e"))
     store.append(docs)
-    assert store.manifest().count() == 0
+    assert store.manifest().count() == 0 and store.compact() == 1
+    assert store.rows().columns == docs.columns and store.rows().count() == 0
+    assert store.append(docs_of(spark, ["x"])) == 2 and store.rows().count() == 1
 
 
 # decontamination

@@ -2,25 +2,36 @@
 
 Arrivals are appended as small immutable shards: rows go to the shard of their
 arrival, one folder each, never changed afterwards.  Compaction looks at the
-manifest alone: shards are put in tiers by size, runs of neighbouring shards of
-one tier are merged until a run reaches the target size, and every run becomes
-one target-sized shard.  A version of the manifest is committed by writing it
-beside the others and renaming its folder into place, which either happens as a
-whole or, if that version exists, not at all; readers take the highest version.
+manifest alone: shards under half the target size are put in tiers by size, runs
+of neighbouring shards of one tier are merged until a run reaches the target
+size, and every run of two shards or more becomes one shard.  Full shards, and
+those without a neighbour, stay where they are and are listed again.
+
+A version of the manifest is written under a name of its own and committed by
+creating one small file that names it, which fails if another writer has created
+that version first; so of two writers that start from one version, one fails.
+Readers take the highest version, and read the folders that it lists.
 
 Sizes are UTF-8 bytes of text, so a plan depends on the rows only.  Runs are
-packed within blocks of BLOCK shards: planning groups are bounded, whatever the
-size of the corpus.
+packed within blocks of BLOCK arrivals: planning groups are bounded.  An arrival
+of more than twice the target size (a common id, or rows without one) is split
+into several shards by a hash of the text.
 
 Defined results: null text counts as 0 bytes; rows with a null id belong to
-arrival -1; repeated rows are kept; extra columns are stored as they are; an
-empty table commits an empty manifest.
+arrival -1; repeated rows are kept; extra columns are stored as they are,
+whatever their names; an empty table commits an empty manifest, and reads back
+as an empty table with its columns.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ids of one arrival.
 ARRIVAL_IDS = 256
@@ -29,22 +40,19 @@ TIER_BYTES = 65_536
 TIER_BASE = 4
 #: Bytes of a merged shard, about.
 TARGET_BYTES = 8_000_000
-#: Shards that are planned together.
+#: Arrivals that are planned together.
 BLOCK = 4_096
 CODEC = "zstd"
+#: A shard's number: the version that appended it, its arrival from -1 on, and the part of a split arrival.
+PARTS, VERSION = 100_000, 10**15
+#: Plans and lists of split arrivals up to this many rows are broadcast (16 bytes each).
+BROADCAST_ROWS = 1_000_000
 
-_ARRIVAL, _SHARD = "_arrival", "_shard"
+_MANIFEST = "shard long, n_docs long, n_bytes long, folder string, part string"
 
 
 def arrival_of(key: str = "doc_id", ids: int = ARRIVAL_IDS) -> Column:
-    return F.coalesce(F.floor(F.col(key) / ids), F.lit(-1)).cast("long")
-
-
-def manifest_rows(rows: DataFrame, shard: str, text: str = "text") -> DataFrame:
-    """shard, n_docs, n_bytes of stored rows."""
-    return rows.groupBy(F.col(shard).alias("shard")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n_bytes")
-    )
+    return F.coalesce(F.floor(F.col(f"`{key}`") / ids), F.lit(-1)).cast("long")
 
 
 def tier_of(n_bytes: Column) -> Column:
@@ -54,91 +62,129 @@ def tier_of(n_bytes: Column) -> Column:
 
 
 def plan_runs(manifest: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
-    """shard, n_docs, n_bytes, tier, run: what is merged with what.  run is the least shard of its run."""
-    tiered = manifest.withColumn("tier", tier_of(F.col("n_bytes"))).withColumn("block", F.floor(F.col("shard") / BLOCK))
+    """The manifest's rows with run, the least shard of those that are merged with it; a shard that stays is a run by itself."""
+    small = manifest.where(F.col("n_bytes") * 2 < target_bytes)
+    block = F.floor(F.pmod(F.col("shard"), F.lit(VERSION)) / (BLOCK * PARTS))
+    tiered = small.withColumn("tier", tier_of(F.col("n_bytes"))).withColumn("block", block)
     along = Window.partitionBy("tier", "block").orderBy("shard")
     before = F.coalesce(F.sum("n_bytes").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = tiered.withColumn("part", F.floor(before / target_bytes))
-    return placed.withColumn("run", F.min("shard").over(Window.partitionBy("tier", "block", "part"))).drop("block", "part")
+    placed = tiered.withColumn("portion", F.floor(before / target_bytes))
+    runs = placed.withColumn("run", F.min("shard").over(Window.partitionBy("tier", "block", "portion"))).drop("tier", "block", "portion")
+    return runs.unionByName(manifest.where(F.col("n_bytes") * 2 >= target_bytes).withColumn("run", F.col("shard")))
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 class ShardStore:
-    """A folder with small shards, merged shards and versions of the manifest; any path that Spark can write."""
+    """A folder with shards and versions of the manifest; any path that Spark can write."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def versions(self) -> list[int]:
         files, path = self._files()
-        folder = path(f"{self.root}/manifest")
+        folder = path(f"{self.root}/versions")
         if not files.exists(folder):
             return []
         return sorted(int(s.getPath().getName()[1:]) for s in files.listStatus(folder) if s.getPath().getName().startswith("v"))
 
-    def commit(self, manifest: DataFrame, version: int) -> None:
+    def commit(self, manifest: DataFrame, version: int, schema: StructType) -> None:
         """Publish a version as a whole, or fail if another writer was first."""
+        staged = f"{self.root}/manifests/{uuid.uuid4().hex}"
+        manifest.select(*(c.split()[0] for c in _MANIFEST.split(", "))).coalesce(1).write.parquet(staged)
         files, path = self._files()
-        staged, final = path(f"{self.root}/staging/v{version:06d}"), path(f"{self.root}/manifest/v{version:06d}")
-        manifest.coalesce(1).write.mode("overwrite").parquet(staged.toString())
-        files.mkdirs(path(f"{self.root}/manifest"))
-        if files.exists(final) or not files.rename(staged, final):
-            raise RuntimeError(f"version {version} of the manifest exists")
-
-    def manifest(self, version: int | None = None) -> DataFrame:
+        said = json.dumps({"manifest": staged, "schema": schema.jsonValue()}).encode()
+        try:
+            out = files.create(path(f"{self.root}/versions/v{version:06d}"), False)
+        except Exception as error:
+            raise RuntimeError(f"version {version} of the manifest exists") from error
+        out.write(bytearray(said))
+        out.close()
+
+    def _version(self, version: int | None = None) -> dict:
         versions = self.versions()
         if not versions:
             raise ValueError("nothing has been committed")
-        return self.spark.read.parquet(f"{self.root}/manifest/v{version or versions[-1]:06d}")
+        files, path = self._files()
+        stream = files.open(path(f"{self.root}/versions/v{version or versions[-1]:06d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def append(self, rows: DataFrame, key: str = "doc_id", text: str = "text", ids: int = ARRIVAL_IDS) -> int:
+    def manifest(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.schema(_MANIFEST).parquet(self._version(version)["manifest"])
+
+    def _store(self, numbered: DataFrame, part: str, text: str) -> DataFrame:
+        """Write rows as one folder for each number in the column ``part``; their lines of the manifest, from what was written."""
+        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+        numbered.repartition(F.col(part)).write.option("compression", CODEC).partitionBy(part).parquet(folder)
+        written = self.spark.read.schema(numbered.schema).parquet(folder)
+        size = F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).cast("long")
+        listed = written.groupBy(F.col(part).alias("shard")).agg(F.count(F.lit(1)).alias("n_docs"), size.alias("n_bytes"))
+        return listed.select("shard", "n_docs", "n_bytes", F.lit(folder).alias("folder"), F.lit(part).alias("part"))
+
+    def append(self, rows: DataFrame, key: str = "doc_id", text: str = "text", ids: int = ARRIVAL_IDS, target_bytes: int = TARGET_BYTES) -> int:
         """Write an arrival of rows as small shards, and commit the next version."""
         version = (self.versions() or [0])[-1] + 1
-        folder = f"{self.root}/small/b{version:06d}"
-        stored = rows.withColumn(_ARRIVAL, arrival_of(key, ids))
-        stored.repartition(_ARRIVAL).write.option("compression", CODEC).partitionBy(_ARRIVAL).parquet(folder)
-        added = manifest_rows(self._read(folder, rows, _ARRIVAL), _ARRIVAL, text).select(
-            F.lit(version).alias("version"), "shard", "n_docs", "n_bytes", F.lit(folder).alias("folder"), F.lit(_ARRIVAL).alias("part")
-        )
-        before = [self.manifest()] if version > 1 else []
-        self.commit(added if not before else before[0].unionByName(added), version)
+        arrival, part = _free("arrival", rows.columns), _free("shard", rows.columns)
+        parts = _free("parts", rows.columns)
+        numbered = rows.withColumn(arrival, arrival_of(key, ids))
+        sizes = numbered.groupBy(arrival).agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n_bytes")).where(F.col("n_bytes") > 2 * target_bytes)
+        large = sizes.select(arrival, F.least(F.ceil(F.col("n_bytes") / target_bytes), F.lit(PARTS)).alias(parts))
+        if large.isEmpty():
+            split = F.lit(0)
+        else:
+            numbered = numbered.join(_small(large), arrival, "left")
+            split = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce(F.col(parts), F.lit(1)))
+        number = (F.lit(version * VERSION) + (F.col(arrival) + 1) * PARTS + split).cast("long")
+        added = self._store(numbered.withColumn(part, number).select(*(F.col(f"`{c}`") for c in rows.columns), part), part, text)
+        if version > 1:
+            added = self.manifest().unionByName(added)
+        self.commit(added, version, rows.schema)
         return version
 
-    def _read(self, folder: str, like: DataFrame | None, part: str) -> DataFrame:
-        reader = self.spark.read
-        if like is not None:
-            reader = reader.schema(like.select([c for c in like.columns if c != part]).schema.add(part, "long"))
-        return reader.parquet(folder)
-
-    def rows(self, manifest: DataFrame | None = None, like: DataFrame | None = None) -> DataFrame:
-        """The rows of a version with _shard, read shard by shard as the manifest lists them."""
-        manifest = manifest if manifest is not None else self.manifest()
-        folders = manifest.select("folder", "part").distinct().collect()  # one for each append or compaction
-        parts = []
-        for folder, part in folders:
-            listed = manifest.where(F.col("folder") == folder).select(F.col("shard").alias(_SHARD))
-            parts.append(self._read(folder, like, part).withColumnRenamed(part, _SHARD).join(listed, _SHARD, "left_semi"))
-        if not parts:
-            raise ValueError("the manifest lists no shard")
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
+    def rows(self, manifest: DataFrame | None = None, shard: str | None = None) -> DataFrame:
+        """The rows of the latest version, or of the manifest that is given, read from the folders that it lists; with their shard, if it is given a name."""
+        schema = StructType.fromJson(self._version()["schema"])
+        if shard is not None and shard.lower() in (c.lower() for c in schema.names):
+            raise ValueError(f"the rows have a column {shard}")
+        folders = defaultdict(list)
+        for row in (manifest if manifest is not None else self.manifest()).select("folder", "part", "shard").collect():  # paths, as a reader needs them
+            folders[row.folder, row.part].append(f"{row.folder}/{row.part}={row.shard}")
+        whole = self.spark.createDataFrame([], StructType([*schema.fields]).add(shard, "long") if shard else schema)
+        for (folder, part), paths in folders.items():
+            found = self.spark.read.schema(StructType([*schema.fields]).add(part, "long")).option("basePath", folder).parquet(*paths)
+            found = found.withColumnRenamed(part, shard) if shard else found.drop(part)
+            whole = whole.unionByName(found, allowMissingColumns=True)
         return whole
 
-    def compact(self, target_bytes: int = TARGET_BYTES, like: DataFrame | None = None, text: str = "text") -> int:
-        """Merge runs of similarly sized shards into shards of about ``target_bytes``, and commit the next version."""
-        manifest = self.manifest()
-        version = self.versions()[-1] + 1
-        folder = f"{self.root}/merged/m{version:06d}"
-        plan = plan_runs(manifest.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes")), target_bytes)
-        moved = self.rows(manifest, like).join(plan.select(F.col("shard").alias(_SHARD), "run"), _SHARD).drop(_SHARD).withColumnRenamed("run", _SHARD)
-        moved.repartition(_SHARD).write.option("compression", CODEC).partitionBy(_SHARD).parquet(folder)
-        sizes = plan.groupBy("run").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_bytes").alias("n_bytes"))
-        listed = sizes.select(
-            F.lit(version).alias("version"), F.col("run").alias("shard"), "n_docs", "n_bytes", F.lit(folder).alias("folder"), F.lit(_SHARD).alias("part")
-        )
-        self.commit(listed, version)
-        return version
+    def compact(self, target_bytes: int = TARGET_BYTES, text: str = "text") -> int:
+        """Merge runs of similarly sized shards and commit the next version; the present version, if nothing is to be merged."""
+        version = self.versions()[-1]
+        manifest = self.manifest(version)
+        schema = StructType.fromJson(self._version(version)["schema"])
+        counted = plan_runs(manifest, target_bytes).withColumn("shards", F.count(F.lit(1)).over(Window.partitionBy("run")))
+        merged = counted.where("shards > 1")
+        if merged.isEmpty():
+            return version
+        old, part = _free("old", schema.names), _free("shard", schema.names)
+        plan = merged.select(F.col("shard").alias(old), F.col("run").alias(part))
+        moved = self.rows(merged, old).join(_small(plan), old).drop(old)
+        stay = counted.where("shards = 1").drop("run", "shards")
+        self.commit(stay.unionByName(self._store(moved, part, text)), version + 1, schema)
+        return version + 1

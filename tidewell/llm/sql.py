@@ -76,16 +76,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)"""
 
 _TIERS = " + ".join(f"(n_bytes > {sharding.TIER_BYTES * sharding.TIER_BASE**i})::INT" for i in range(16))
+
+
+def _sharding_plan(name: str, shards: str) -> str:
+    """CTEs that plan a compaction of ``shards``: {name}_runs (shard, n_bytes, run, alone) and {name} (the shards after it)."""
+    return f"""
+{name}_small AS (SELECT *, {_TIERS} AS tier, (shard % {sharding.VERSION}) // {sharding.BLOCK * sharding.PARTS} AS block FROM {shards} WHERE n_bytes * 2 < {sharding.TARGET_BYTES}),
+{name}_parts AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY tier, block ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  // {sharding.TARGET_BYTES} AS portion FROM {name}_small),
+{name}_runs AS (SELECT shard, n_docs, n_bytes, min(shard) OVER (PARTITION BY tier, block, portion) AS run FROM {name}_parts
+  UNION ALL SELECT shard, n_docs, n_bytes, shard FROM {shards} WHERE n_bytes * 2 >= {sharding.TARGET_BYTES}),
+{name} AS (SELECT run AS shard, sum(n_docs)::BIGINT AS n_docs, sum(n_bytes)::BIGINT AS n_bytes, count(*) AS merged FROM {name}_runs GROUP BY run)"""
+
+
+#: Appends are versions 1, 2 and, after the first compaction if it merges anything, the next one.
 _SHARDING = f"""
-WITH d AS (SELECT *, coalesce(floor(doc_id / {sharding.ARRIVAL_IDS}), -1)::BIGINT AS arrival FROM documents),
-small AS (SELECT arrival, count(*) AS n_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes FROM d GROUP BY arrival),
-tiered AS (SELECT *, {_TIERS} AS tier, arrival // {sharding.BLOCK} AS block FROM small),
-parts AS (SELECT *, coalesce(sum(n_bytes) OVER (PARTITION BY tier, block ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-  // {sharding.TARGET_BYTES} AS part FROM tiered),
-runs AS (SELECT *, min(arrival) OVER (PARTITION BY tier, block, part) AS run FROM parts),
-shards AS (SELECT run, sum(n_docs)::BIGINT AS shard_docs, sum(n_bytes)::BIGINT AS shard_bytes FROM runs GROUP BY run)
-SELECT doc_id, md5(text) AS text_md5, source, run AS shard, shard_docs, shard_bytes, 2::BIGINT AS version
-FROM d JOIN runs USING (arrival) JOIN shards USING (run)"""
+WITH arrived AS (SELECT *, coalesce(floor(doc_id / {sharding.ARRIVAL_IDS}), -1)::BIGINT AS arrival FROM documents),
+d AS (SELECT *, ((arrival % 3) + 3) % 3 AS delivery FROM arrived),
+early AS (SELECT (delivery + 1) * {sharding.VERSION} + (arrival + 1) * {sharding.PARTS} AS shard, arrival, count(*) AS n_docs,
+  coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes FROM d WHERE delivery < 2 GROUP BY delivery, arrival),{_sharding_plan("one", "early")},
+late AS (SELECT (3 + (SELECT coalesce(max(merged) > 1, false)::INT FROM one)) * {sharding.VERSION} + (arrival + 1) * {sharding.PARTS} AS shard, arrival, count(*) AS n_docs,
+  coalesce(sum(strlen(text)), 0)::BIGINT AS n_bytes FROM d WHERE delivery = 2 GROUP BY arrival),
+both_ AS (SELECT shard, n_docs, n_bytes FROM one UNION ALL SELECT shard, n_docs, n_bytes FROM late),{_sharding_plan("two", "both_")},
+first_of AS (SELECT arrival, run AS shard FROM early JOIN one_runs USING (shard) UNION ALL SELECT arrival, shard FROM late),
+last_of AS (SELECT arrival, run AS shard FROM first_of JOIN two_runs USING (shard))
+SELECT doc_id, md5(text) AS text_md5, source, shard, n_docs AS shard_docs, n_bytes AS shard_bytes,
+  (3 + (SELECT coalesce(max(merged) > 1, false)::INT FROM one) + (SELECT coalesce(max(merged) > 1, false)::INT FROM two))::BIGINT AS version
+FROM d JOIN last_of USING (arrival) JOIN two USING (shard)"""
 
 _LINE_DEDUP = rf"""
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
