@@ -123,6 +123,40 @@ def test_chat_offsets_point_at_the_loss(spark):
     assert [whole[r.loss_start : r.loss_end] for r in got if r.loss_start is not None] == ["bcd", "e"]
 
 
+def common_in_order(one, two):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(two) + 1)
+    for x in one:
+        last = 0
+        for j, y in enumerate(two):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_license_spans_are_verified_in_order(spark):
+    rnd = random.Random(3)
+    texts, want = [], []
+    for label, notice in licenses.NOTICES:
+        words = notice.split()
+        foreign = lambda n: [f"f{rnd.randrange(999)}" for _ in range(n)]
+        scattered = [w for i in range(len(words) - 1) for w in [words[i], words[i + 1], *foreign(2)]]
+        backwards = [w for i in reversed(range(0, len(words) - 1, 2)) for w in words[i : i + 2]]
+        longer = [*words[: len(words) // 2], *foreign(1), *words[len(words) // 2 :]]
+        texts += [" ".join(foreign(20) + x + foreign(20)) for x in (words, scattered, backwards, longer)]
+        want += [(label, True), (label, False), (label, False), (label, len(words) > 5)]
+    spans = licenses.scan_licenses(docs_of(spark, texts)).where("label IS NOT NULL AND NOT exact").collect()
+    found = {(r.doc_id, r.label) for r in spans}
+    for i, (label, there) in enumerate(want):
+        assert ((i, label) in found) == there, (i, label, there)
+    notices = collections.defaultdict(list)
+    for label, notice in licenses.NOTICES:
+        notices[label].append(notice.split())
+    for r in spans:  # every span holds its notice in order, by another measure
+        words = folded(texts[r.doc_id])[r.start : r.end]
+        assert any(common_in_order(words, n) >= 0.8 * len(n) - 1 and len(words) <= len(n) + licenses.SLACK for n in notices[r.label]), (r, words)
+
+
+
 # sharding
 
 

@@ -4,9 +4,12 @@ All rolling word 2-grams of a document are hashed and joined to the positions
 at which the license templates hold the same 2-gram.  A template that stands in
 a text puts its hits on one diagonal (document position minus template
 position); words added or lost inside it shift later hits to a neighbouring
-diagonal.  Hits are counted by diagonal, neighbouring diagonals are merged, and
-a span counts if enough of the template's 2-grams are covered, every one of
-them compared word by word.
+diagonal.  Hits are counted by diagonal, and each diagonal is merged with those
+up to SLACK above it.  A merged span is verified: its hits, every one compared
+word by word, are walked through in the template's order, and only those that
+also come later in the text than all before them count.  Of spans of one
+template within SLACK of each other the best one stays, and it counts if enough
+of the template's 2-grams do.
 
 Defined results: a null or empty text has no words and no spans; repeated rows
 and null ids each keep a row of their own; other columns are ignored.
@@ -14,11 +17,11 @@ and null ids each keep a row of their own; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GRAM = 2
-#: Diagonals at most this far apart belong to one occurrence of a notice.
+#: Diagonals of one occurrence of a notice lie at most this far apart, all in all; and at most a quarter of its 2-grams.
 SLACK = 3
 #: Share of a notice's 2-grams that a span must cover.
 COVERAGE = 0.8
@@ -94,29 +97,44 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", phra
         .where(hit | F.col("pos").isNull() | (F.col("pos") == 0))
         .select("row_id", "doc_id", "n_words", F.when(hit, F.col("template")).alias("template"), F.when(hit, F.col("pos") - F.col("t_pos")).alias("diagonal"), F.when(hit, F.col("t_pos")).alias("t_pos"))
     )
-    diagonals = (
-        hits.groupBy("row_id", "doc_id", "n_words", "template", "diagonal")
-        .agg(F.collect_set("t_pos").alias("covered"))
-        .join(F.broadcast(templates), "template", "left")
-    )
-    along = Window.partitionBy("row_id", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(along) > SLACK), F.lit(True))
-    merged = (
-        diagonals.withColumn("apart", apart.cast("int"))
-        .withColumn("run", F.sum("apart").over(along))
-        .groupBy("row_id", "doc_id", "n_words", "template", "label", "family", "exact", "n_grams", "run")
-        .agg(
-            F.min(F.col("diagonal") + F.array_min("covered")).alias("start"),
-            F.max(F.col("diagonal") + F.array_max("covered") + GRAM).alias("end"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("votes"),
-        )
+    about = hits.repartition("row_id").join(F.broadcast(templates), "template", "left")
+    d = F.col("diagonal")
+    bands = F.when(F.col("exact"), F.array(d)).when(d.isNotNull(), F.transform(F.sequence(F.lit(0), F.least(F.lit(SLACK), F.floor(F.col("n_grams") / 4).cast("int"))), lambda i: d - i))
+    kinds = ("row_id", "doc_id", "n_words", "template", "label", "family", "exact", "n_grams")
+    spans = (
+        about.withColumn("anchor", F.explode_outer(bands))
+        .groupBy(*kinds, "anchor")
+        .agg(F.array_sort(F.collect_set(F.struct("t_pos", (d + F.col("t_pos")).alias("pos")))).alias("found"), F.max(d == F.col("anchor")).alias("own"))
+        .where("own OR anchor IS NULL")
+        .withColumn("walk", F.when(F.col("anchor").isNotNull(), _in_order(F.col("found"))))
+        .select(*kinds, "anchor", F.col("walk.n").alias("votes"), F.col("walk.first").alias("start"), (F.col("walk.top") + GRAM).alias("end"))
         .withColumn("coverage", F.coalesce(F.col("votes") / F.col("n_grams"), F.lit(0.0)))
     )
+    rank = F.col("votes").cast("long") * 2**40 - F.col("anchor")
+    near = Window.partitionBy("row_id", "template").orderBy("anchor").rangeBetween(-SLACK, SLACK)
+    merged = spans.withColumn("rank", rank).withColumn("top", F.max("rank").over(near)).where("anchor IS NULL OR exact OR rank = top")
     best = Window.partitionBy("row_id", "exact", "family", "start").orderBy(F.desc("coverage"), "template")
     kept = F.when(F.col("exact"), F.col("votes") == F.col("n_grams")).otherwise((F.col("coverage") >= COVERAGE) & (F.row_number().over(best) == 1))
     return merged.withColumn("kept", kept).select("row_id", "doc_id", "n_words", *(F.when(F.col("kept"), F.col(c)).alias(c) for c in ("label", "exact", "start", "end")), "coverage")
 
 
+def _in_order(found: Column) -> Column:
+    """n, first and top (text positions) of the hits that come later than all before them; found is sorted by template position, then by text position."""
+    start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("first"), F.lit(-1).alias("top"), F.lit(0).alias("n"))
+
+    def step(state: Column, hit: Column) -> Column:
+        later = hit["pos"] > state["top"]
+        walked = F.struct(
+            hit["t_pos"].alias("t"),
+            F.when(state["n"] == 0, hit["pos"]).otherwise(state["first"]).alias("first"),
+            F.when(later, hit["pos"]).otherwise(state["top"]).alias("top"),
+            (state["n"] + later.cast("int")).alias("n"),
+        )
+        return F.when(hit["t_pos"] == state["t"], state).otherwise(walked)
+
+    return F.aggregate(found, start, step)
+
+
 def _pair_names(placed: DataFrame) -> list[str]:
     return placed.schema["pair"].dataType.fieldNames()
 

@@ -24,15 +24,17 @@ grams AS (SELECT template, t_pos, w[t_pos + 1] AS one, w[t_pos + 2] AS two FROM
 p AS (SELECT doc_id, unnest(range(len(w) - 1)) AS pos, w FROM d WHERE len(w) > 1),
 pairs AS (SELECT doc_id, pos, w[pos + 1] AS one, w[pos + 2] AS two FROM p),
 hits AS (SELECT doc_id, template, pos - t_pos AS diagonal, t_pos FROM pairs JOIN grams USING (one, two)),
-marked AS (SELECT h.*, t.label, t.family, t.exact, len(t.w) - 1 AS n_grams,
-  CASE WHEN t.exact OR diagonal - lag(diagonal) OVER (PARTITION BY doc_id, h.template ORDER BY diagonal) > {licenses.SLACK}
-       THEN diagonal - coalesce(lag(diagonal) OVER (PARTITION BY doc_id, h.template ORDER BY diagonal), diagonal - 1) ELSE 0 END AS apart
-  FROM hits h JOIN t USING (template)),
-runs AS (SELECT *, CASE WHEN exact THEN diagonal ELSE sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) END AS run FROM marked),
-spans AS (SELECT doc_id, template, label, family, exact, n_grams, run, min(diagonal + t_pos) AS start_, count(DISTINCT t_pos) AS votes
-  FROM runs GROUP BY ALL),
+bands AS (SELECT h.*, t.label, t.family, t.exact, len(t.w) - 1 AS n_grams,
+  unnest(CASE WHEN t.exact THEN [diagonal] ELSE list_transform(range(least({licenses.SLACK}, (len(t.w) - 1) // 4) + 1), lambda i: diagonal - i) END) AS anchor FROM hits h JOIN t USING (template)),
+firsts AS (SELECT doc_id, template, label, family, exact, n_grams, anchor, t_pos, min(t_pos + diagonal) AS pos, bool_or(diagonal = anchor) AS own FROM bands GROUP BY ALL),
+walked AS (SELECT *, pos > coalesce(max(pos) OVER (PARTITION BY doc_id, template, anchor ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS later FROM firsts),
+spans AS (SELECT doc_id, template, label, family, exact, n_grams, anchor, count(*) FILTER (later) AS votes, min(pos) FILTER (later) AS start_
+  FROM walked GROUP BY ALL HAVING bool_or(own)),
+tops AS (SELECT *, max(votes * 1099511627776 - anchor) OVER (PARTITION BY doc_id, template ORDER BY anchor
+  RANGE BETWEEN {licenses.SLACK} PRECEDING AND {licenses.SLACK} FOLLOWING) AS top FROM spans),
 ranked AS (SELECT *, votes / n_grams AS coverage,
-  row_number() OVER (PARTITION BY doc_id, exact, family, start_ ORDER BY votes / n_grams DESC, template) AS place FROM spans),
+  row_number() OVER (PARTITION BY doc_id, exact, family, start_ ORDER BY votes / n_grams DESC, template) AS place
+  FROM tops WHERE exact OR votes * 1099511627776 - anchor = top),
 found AS (SELECT *, CASE WHEN exact THEN votes = n_grams ELSE coverage >= {licenses.COVERAGE} AND place = 1 END AS kept FROM ranked),
 summed AS (SELECT doc_id, count(*) FILTER (kept AND exact) AS n_base,
   min(start_) FILTER (kept AND exact) AS first_word, max(start_) FILTER (kept AND exact) AS last_word,
