@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, chat, decontaminate, jaccard, langid, licenses, linededup, quality, queries, sharding, toxicity, trees
@@ -20,6 +21,10 @@ def fold(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
+def hash_of(word):
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def folded(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
 
@@ -521,6 +526,66 @@ def test_pigeonhole_bands():
             assert segments[band] - differ[band] == spare[band] + 1
 
 
+# samples
+
+
+def test_training_samples_are_bounded_with_repeated_ids(spark):
+    texts = [f"some text of number {i} with words. and a sentence" for i in range(600)]
+    docs = docs_of(spark, texts)
+    same = docs.where("doc_id = 1").crossJoin(spark.range(3000)).drop("id")
+    docs = docs.unionByName(same)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    ids = docs.where("doc_id % 4 <> 9").select("doc_id", "lang")
+    from tidewell.llm import sampling
+
+    chosen = sampling.lowest_hashes(ids, 200)
+    assert chosen.count() == chosen.select("doc_id").distinct().count() == 200
+    assert sampling.rows_of(docs.select("doc_id", "text"), chosen).count() == 200
+    assert sorted(r[0] for r in sampling.lowest_hashes(ids, 10).collect()) == sorted(r[0] for r in ids.distinct().orderBy(F.xxhash64(F.lit("sample"), "doc_id")).limit(10).collect())
+    _, windows, _ = langid.train_windows(docs, 200)
+    assert 0 < len(windows) <= 200 * langid.TRAIN_CUTS
+    words, _, y = toxicity.train_bags(docs, labels)
+    assert len(words) == len(y) <= 600
+
+
+def test_noisy_or_and_pooled_probabilities_by_scalar_loops(spark):
+    """The document scores of the two trained text models against plain loops over their parameters."""
+    texts = ["A bad word here. Nothing there! bad", "clean", "", None, "one. two. three bad bad. worse"]
+    vocabulary = np.sort(np.array([hash_of(w) for w in (b"bad", b"worse", b"clean")], np.uint64))
+    model = toxicity.MilModel(vocabulary, np.array([1.5, -0.5, 2.5]), -2.0)
+    weight = dict(zip(vocabulary.tolist(), [1.5, -0.5, 2.5], strict=True))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs_of(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        parts = [folded(p) for p in re.split(r"[.!?\n]", text or "")]
+        parts = [p for p in parts if p] or [[]]
+        none = 1.0
+        for part in parts:
+            features = {f for w in set(part) for f in toxicity.word_features(w.encode())}
+            logit = -2.0 + sum(weight.get(hash_of(f), 0.0) for w in set(part) for f in toxicity.word_features(w.encode()))
+            none *= 1 - 1 / (1 + np.exp(-logit))
+            assert features or not part
+        assert abs(got[i].score - (1 - none)) < 1e-6 and got[i].n_sentences == len(parts), (i, text)
+    net = langid.initial(["a", "b", "c"])
+    raw = ("Straße und Wörter, x1 " * 12).encode()
+    sums = np.zeros(3)
+    for start in range(0, len(raw), langid.WINDOW):
+        piece = raw[start : start + langid.WINDOW].ljust(langid.WINDOW, b"\0")
+        states = []
+        for side in (0, 1):
+            h, found = np.zeros(langid.HIDDEN), {}
+            for t in range(langid.WINDOW) if side == 0 else reversed(range(langid.WINDOW)):
+                x = net.table[side][piece[t]].astype(float)
+                z, r = (1 / (1 + np.exp(-(x[k * langid.HIDDEN : (k + 1) * langid.HIDDEN] + h @ net.gates[side][:, k * langid.HIDDEN : (k + 1) * langid.HIDDEN]))) for k in (0, 1))
+                h = h + z * (np.tanh(x[2 * langid.HIDDEN :] + (r * h) @ net.candidate[side]) - h)
+                found[t] = h
+            states.append(found)
+        for t in range(langid.WINDOW):
+            if piece[t] >= 128 or chr(piece[t]).isalpha():
+                e = np.exp(np.concatenate([states[0][t], states[1][t]]) @ net.out + net.bias)
+                sums += e / e.sum()
+    assert np.allclose(langid.document_probabilities(net, [raw])[0], sums / sums.sum(), atol=1e-5)
+
+
 # registered queries
 
 

@@ -8,7 +8,8 @@ labelled documents outside the held-out fold.
 
 A whole text is scored: its bytes are cut into windows of WINDOW bytes, which
 run through the network side by side, so a long text costs what its bytes cost
-and the state of a worker is bounded by BATCH windows.
+and the state of a worker is bounded by BATCH windows.  The states of both
+directions start anew in each window, as they did in training.
 
 Only letters weigh in the mean (white space, digits and punctuation look alike
 in all languages).  A text that is null or has no letter is ``und`` with score
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.sampling import held_out, lowest_hashes
+from tidewell.llm.sampling import held_out, lowest_hashes, rows_of
 from tidewell.llm.words import binary_column
 
 #: Labelled documents that the network is fitted on, at most, and windows cut from each.
@@ -172,16 +173,12 @@ def fit(langs: list[str], windows: np.ndarray, labels: np.ndarray, steps: int =
 
 def train_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Windows of WINDOW bytes from at most ``train_docs`` labelled documents: TRAIN_CUTS of each, at places drawn by its id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = lowest_hashes(known.select("doc_id", "lang", F.length("text").alias("n")), train_docs)
-    starts = [F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.greatest(F.col("n") - WINDOW, F.lit(1))).cast("int") + 1 for j in range(TRAIN_CUTS)]
-    # the chosen ids are at most train_docs rows
-    cuts = (
-        known.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "lang", F.array(*(F.substring("text", s, F.lit(WINDOW)) for s in starts)).alias("cuts"))
-        .toLocalIterator()
-    )
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    chosen = lowest_hashes(known.select("doc_id", "lang"), train_docs)
+    n = F.length("text")
+    starts = [F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.greatest(n - WINDOW, F.lit(1))).cast("int") + 1 for j in range(TRAIN_CUTS)]
+    pieces = docs.where("text IS NOT NULL").select("doc_id", F.array(*(F.substring("text", s, F.lit(WINDOW)) for s in starts)).alias("cuts"))
+    cuts = rows_of(pieces, chosen).toLocalIterator()
     found = sorted((row["doc_id"], row["lang"], piece) for row in cuts for piece in row["cuts"] if any(c.isalpha() for c in piece))
     langs = sorted({lang for _, lang, _ in found})
     windows = np.zeros((len(found), WINDOW), np.uint8)

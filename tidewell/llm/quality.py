@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm import trees
-from tidewell.llm.sampling import held_out, lowest_hashes
+from tidewell.llm.sampling import held_out, lowest_hashes, rows_of
 from tidewell.llm.words import WordHashes, binary_column, rolling, spaced_words
 from tidewell.llm.workspace import settled
 
@@ -117,7 +117,7 @@ def features(columns: dict[str, np.ndarray]) -> np.ndarray:
 def fit_quality(statistics: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> trees.Forest:
     """Trees for P(quality = 1), fitted on at most ``train_rows`` labelled documents outside the held-out fold."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    sample = lowest_hashes(statistics.join(known, "doc_id"), train_rows).toPandas()
+    sample = rows_of(statistics.select("doc_id", *COUNTS), lowest_hashes(known, train_rows)).orderBy("doc_id").toPandas()
     columns = {c: sample[c].to_numpy(float) for c in COUNTS}
     return trees.fit(features(columns), sample["quality"].to_numpy(float), np.array([m for _, _, m in FEATURES]))
 

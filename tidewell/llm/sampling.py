@@ -16,5 +16,24 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def lowest_hashes(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame:
-    """At most ``limit`` rows, those whose ids hash lowest: the same ones at every run, spread evenly over the ids."""
-    return rows.orderBy(F.xxhash64(F.lit("sample"), key), key).limit(limit)
+    """One row for each of at most ``limit`` ids, those that hash lowest: the same ones at every run, spread evenly over the ids.
+
+    Rows that repeat an id are one row, with the least values.  The ids are
+    counted first, and only those below the hash that some more than ``limit``
+    of them are expected under are put in order: what meets in one task is
+    bounded by ``limit``, not by the number of tasks.
+    """
+    one = rows.groupBy(key).agg(*(F.min(c).alias(c) for c in rows.columns if c != key))
+    n, enough = one.count(), limit + 6 * int(limit**0.5) + 20
+    spread = F.xxhash64(F.lit("sample"), key)
+    if n > enough:
+        one = one.where(spread < F.lit(-(2**63) + 2**64 * enough // n))
+    return one.orderBy(spread, key).limit(limit)
+
+
+def rows_of(rows: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of ``rows`` for each chosen id (a few thousand, broadcast), with the columns of both; of repeated ids the least row."""
+    own = [c for c in rows.columns if c != key]
+    met = rows.join(F.broadcast(chosen), key)
+    least = met.groupBy(key, *(c for c in chosen.columns if c != key)).agg(F.min(F.struct(*own)).alias("least"))
+    return least.select(key, *(c for c in chosen.columns if c != key), *(F.col(f"least.`{c}`").alias(c) for c in own))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.sampling import held_out, lowest_hashes
+from tidewell.llm.sampling import held_out, lowest_hashes, rows_of
 from tidewell.llm.words import WordHashes, binary_column
 
 #: Labelled documents that the weights are fitted on, at most.
@@ -117,7 +117,7 @@ def train_bags(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], li
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     chosen = lowest_hashes(known.where("toxic = 1"), TRAIN_TOXIC).unionByName(lowest_hashes(known.where("toxic = 0"), TRAIN_CLEAN))
     # the chosen ids are at most TRAIN_TOXIC + TRAIN_CLEAN rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").coalesce(16)
+    rows = rows_of(docs.select("doc_id", "text"), chosen.dropDuplicates(["doc_id"]))
     words, numbers, toxic = [], [], []
     for row in _bags(rows).toLocalIterator():
         words.append(np.array(row["words"], np.int64).view(np.uint64))
