@@ -350,6 +350,9 @@ def test_recurring_templates_go_and_fields_vary(spark):
     assert got[8].text is None and got[8].n_lines == 0 and got[9].text == "" and got[10].text == "\n\n"
     assert got[11].text == texts[11]
     assert linededup.without_recurring_lines(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit("own") for c in ("_gone", "_doc", "_digest", "gone", "Doc", "digest", "line_no", "template")})
+    kept = linededup.drop_recurring_lines(clash)
+    assert {r.gone + r.Doc + r.digest for r in kept.collect()} == {"own" * 3} and kept.where("n_dropped > 0").count() == 7
     assert linededup.drop_recurring_lines(docs.where("false")).count() == 0
 
 

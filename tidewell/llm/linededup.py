@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.workspace import settled
+from tidewell.llm.workspace import free_name, settled
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -188,22 +188,24 @@ def drop_recurring_lines(
     leaves = leaves.where(F.col("n") >= enough_texts(F.col("n_tokens"), least_documents)).select("leaf")
     leaves = settled(leaves, "leaves")
     known = settled(lines_of_leaves(lines, leaves), "known")
-    gone = (
+    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    doc, digest, gone = (free_name(c, docs.columns) for c in ("doc", "digest", "gone"))
+    lost = (
         recurring_lines(lines, leaves, known, least_documents, similar)
         .where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
-        .groupBy(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
-        .agg(F.collect_set("line_no").alias("_gone"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("digest").alias(digest))
+        .agg(F.collect_set("line_no").alias(gone))
     )
-    same = docs[key].eqNullSafe(gone["_doc"]) & (F.xxhash64(docs[text]) == gone["_digest"])
-    all_lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.drop("n_lines", "n_dropped").join(gone, same, "left")
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    whole = F.col(f"`{text}`")
+    all_lines = F.split(whole, "\n", -1)
+    kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col(gone), i))
+    same = F.col(f"`{key}`").eqNullSafe(F.col(doc)) & (F.xxhash64(whole) == F.col(digest))
+    joined = docs.select(*(f"`{c}`" for c in own)).join(lost, same, "left")
+    cleaned = F.when(F.col(gone).isNull(), whole).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *(cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in own),
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"),
+        F.when(whole.isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 

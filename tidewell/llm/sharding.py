@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidewell.llm.workspace import free_name
+
 #: Ids of one arrival.
 ARRIVAL_IDS = 256
 #: Sizes within a factor of TIER_BASE share a tier; the least tier ends at TIER_BYTES.
@@ -73,14 +75,6 @@ def plan_runs(manifest: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFram
     return runs.unionByName(manifest.where(F.col("n_bytes") * 2 >= target_bytes).withColumn("run", F.col("shard")))
 
 
-def _free(name: str, columns: list[str]) -> str:
-    """The name, with underscores until no column has it."""
-    taken = {c.lower() for c in columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
@@ -141,8 +135,8 @@ class ShardStore:
     def append(self, rows: DataFrame, key: str = "doc_id", text: str = "text", ids: int = ARRIVAL_IDS, target_bytes: int = TARGET_BYTES) -> int:
         """Write an arrival of rows as small shards, and commit the next version."""
         version = (self.versions() or [0])[-1] + 1
-        arrival, part = _free("arrival", rows.columns), _free("shard", rows.columns)
-        parts = _free("parts", rows.columns)
+        arrival, part = free_name("arrival", rows.columns), free_name("shard", rows.columns)
+        parts = free_name("parts", rows.columns)
         numbered = rows.withColumn(arrival, arrival_of(key, ids))
         sizes = numbered.groupBy(arrival).agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n_bytes")).where(F.col("n_bytes") > 2 * target_bytes)
         large = sizes.select(arrival, F.least(F.ceil(F.col("n_bytes") / target_bytes), F.lit(PARTS)).alias(parts))
@@ -182,7 +176,7 @@ class ShardStore:
         merged = counted.where("shards > 1")
         if merged.isEmpty():
             return version
-        old, part = _free("old", schema.names), _free("shard", schema.names)
+        old, part = free_name("old", schema.names), free_name("shard", schema.names)
         plan = merged.select(F.col("shard").alias(old), F.col("run").alias(part))
         moved = self.rows(merged, old).join(_small(plan), old).drop(old)
         stay = counted.where("shards = 1").drop("run", "shards")

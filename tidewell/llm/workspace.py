@@ -16,6 +16,14 @@ BATCH_ROWS = 1_000
 BATCH_BYTES = 4_000_000
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; its own temporary folder only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
