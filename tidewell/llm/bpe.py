@@ -37,12 +37,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.workspace import settled
+
 #: Text of a chunk, and of a part's share, about.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 #: Words that the tokenizer gets together.
 ENCODE_BATCH = 4_096
 #: Documents of a row of positions, at most.
-ROW_DOCS = 2_000
+ROW_DOCS = 500
 
 WHITE = r"[ \t\n\x0B\f\r]+"
 
@@ -290,8 +292,13 @@ def encode_documents(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES)
 
 
 def digest_documents(docs: DataFrame, path: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_documents gives, as digests."""
-    return _documents(
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode_documents gives, as digests.
+
+    Written to the shared folder, so that Python workers get small batches (see
+    ``settled``): the rows of positions are up to a few MB each.
+    """
+    digests = _documents(
         docs, path, chunk_bytes, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
         lambda doc, ids, text: (doc, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()),
     )
+    return settled(digests, "digests")
