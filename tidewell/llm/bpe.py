@@ -27,6 +27,7 @@ tokenizers library; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.workspace import settled
+from tidewell.llm.workspace import release_memory, settled
 
 #: Text of a chunk, and of a part's share, about.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 16_000_000
 #: Words that the tokenizer gets together.
 ENCODE_BATCH = 4_096
 #: Documents of a row of positions, at most.
@@ -55,6 +56,8 @@ _IDS = "slot long, base int, n int, packed binary, text binary"
 
 
 def load_tokenizer(path: str):
+    """The tokenizer; a task has one core, so it starts no threads (and no heap for each)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -73,6 +76,15 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in ddl.split(", "))])
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit integers with their bytes of one weight together, which packs best."""
+    return np.ascontiguousarray(numbers, np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 class Chunk:
     """The words of some documents, until they are enough."""
 
@@ -109,8 +121,7 @@ class Chunk:
         for start in range(0, len(sizes), ROW_DOCS):
             stop = min(start + ROW_DOCS, len(sizes))
             begin = int(ends[start] - sizes[start])
-            planes = positions[begin : int(ends[stop - 1])].view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together pack best
-            yield (chunk, chunk, -1, 0, len(words), self.doc_ids[start:stop], sizes[start:stop], press.compress(planes))
+            yield (chunk, chunk, -1, 0, len(words), self.doc_ids[start:stop], sizes[start:stop], press.compress(_planes(positions[begin : int(ends[stop - 1])])))
         borders = np.searchsorted(part[by_part], np.arange(n_parts + 1))
         for p in np.flatnonzero(np.diff(borders)).tolist():
             base, end = int(borders[p]), int(borders[p + 1])
@@ -134,6 +145,8 @@ def word_chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
                     chunk = Chunk()
         if chunk.doc_ids:
             yield _batch(list(chunk.rows(n_parts, press)), schema)
+        del chunk
+        release_memory()
 
     words = F.array_remove(F.split(F.col("text").cast("string"), WHITE), "")
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words")).mapInArrow(run, _DEALT)
@@ -160,12 +173,15 @@ def encode_words(dealt: DataFrame, path: str) -> DataFrame:
         coded = pa.concat_arrays(words).dictionary_encode()
         distinct = coded.dictionary.cast(pa.string())
         tokenizer = load_tokenizer(path)
+        release_memory()  # of reading its file
         found: list[np.ndarray] = []
         for start in range(0, len(distinct), ENCODE_BATCH):
             part = distinct.slice(start, ENCODE_BATCH).to_pylist()
             found += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch(part, add_special_tokens=False)]
         lengths = np.fromiter(map(len, found), np.int32, len(found))
         flat = np.concatenate(found)
+        del tokenizer, found, distinct
+        release_memory()
         begins = np.cumsum(lengths) - lengths
         which = coded.indices.to_numpy()
         begin = 0
@@ -203,7 +219,7 @@ def with_pieces(coded: DataFrame, path: str) -> DataFrame:
                 raise RuntimeError("the tokens of a dictionary are not together")
             ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(lengths)])]
             packed = np.concatenate([lengths, own, np.diff(ends).astype(np.int32)])
-            return (*head, press.compress(packed.tobytes()), press.compress(b"".join(texts)))
+            return (*head, press.compress(_planes(packed)), press.compress(b"".join(texts)))
 
         for batch in batches:
             done = []
@@ -231,6 +247,7 @@ def with_pieces(coded: DataFrame, path: str) -> DataFrame:
                 yield _batch(done, schema)
         if head is not None:
             yield _batch([closed()], schema)
+        release_memory()
 
     tokens = coded.select("slot", "base", "n", "lengths", F.posexplode_outer("ids").alias("pos", "id"))
     met = tokens.join(F.broadcast(piece_table(coded, path)), "id", "left").select("slot", "base", "n", "lengths", "pos", "id", "piece")
@@ -250,7 +267,7 @@ def joined_by_position(dealt: DataFrame, back: DataFrame, schema: str, finish: C
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         # an equal chunk gives equal parts again
-        parts = {row["base"]: (row["n"], np.frombuffer(unpack.decompress(row["packed"]), np.int32), unpack.decompress(row["text"])) for row in right.to_pylist()}
+        parts = {row["base"]: (row["n"], _numbers(unpack.decompress(row["packed"])), unpack.decompress(row["text"])) for row in right.to_pylist()}
         if left.num_rows and left.column("part")[0].as_py() >= 0:
             return own.empty_table()
         if not left.num_rows or sum(n for n, _, _ in parts.values()) != left.column("n")[0].as_py():
@@ -264,8 +281,7 @@ def joined_by_position(dealt: DataFrame, back: DataFrame, schema: str, finish: C
         begins = np.cumsum(lengths) - lengths
         rows = []
         for row in left.select(["doc_ids", "sizes", "packed"]).to_pylist():
-            planes = np.frombuffer(unpack.decompress(row["packed"]), np.uint8)
-            positions = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+            positions = _numbers(unpack.decompress(row["packed"]))
             tokens = ids[_runs(begins[positions], lengths[positions])]
             said = texts.take(pa.array(positions))
             offsets = np.frombuffer(said.buffers()[1], np.int64)[: len(said) + 1]
@@ -275,7 +291,10 @@ def joined_by_position(dealt: DataFrame, back: DataFrame, schema: str, finish: C
             for i, doc in enumerate(row["doc_ids"]):
                 text = bytes(data[offsets[word_ends[i]] : offsets[word_ends[i + 1]]])[:-1]
                 rows.append(finish(doc, tokens[token_ends[i] : token_ends[i + 1]], text))
-        return pa.Table.from_batches([_batch(rows, own)])
+        found = pa.Table.from_batches([_batch(rows, own)])
+        del rows, texts, ids, lengths, begins, whole, parts
+        release_memory()
+        return found
 
     return dealt.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(join, schema)
 

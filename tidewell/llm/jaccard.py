@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import WordHashes, binary_column, mix64, rolling, spaced_words
-from tidewell.llm.workspace import settled
+from tidewell.llm.workspace import release_memory, settled
 
 SHINGLE = 5
 #: Linked: 100 * intersection >= 80 * union.
@@ -121,6 +121,8 @@ def set_nodes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
                 [batch.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
                 names=["doc_id", "node", "n_shingles"],
             )
+        del hashes
+        release_memory()
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, node long, n_shingles long")
@@ -157,6 +159,8 @@ def node_keys(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> Da
                 )
                 for start in range(0, len(whole), 65_536):
                     yield whole.slice(start, 65_536)
+        del hashes, seen
+        release_memory()
 
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, node long, band short")
 
@@ -226,6 +230,8 @@ def member_sets(docs: DataFrame, nodes: DataFrame, wanted_nodes: DataFrame, text
             yield pa.RecordBatch.from_arrays(
                 [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"]
             )
+        del hashes
+        release_memory()
 
     wanted = (
         nodes.where("doc_id IS NOT NULL")

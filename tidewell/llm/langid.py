@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.sampling import held_out, lowest_hashes, rows_of
 from tidewell.llm.words import binary_column
+from tidewell.llm.workspace import release_memory
 
 #: Labelled documents that the network is fitted on, at most, and windows cut from each.
 TRAIN_DOCS = 2_000
@@ -230,6 +231,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                     langs[i], scores[i] = net.langs[int(row.argmax())], min(1.0, float(row.max()))
                 begin = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names=names)
+        release_memory()
 
     return docs.select(*(f"`{f.name}`" for f in kept)).mapInArrow(run, schema)
 
