@@ -204,6 +204,7 @@ def candidate_groups(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(keys), np.int32))], names=["key", "node", "n"]
                 )
+        release_memory()
 
     dealt = sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int").where("key IS NOT NULL").repartition("key")
     shared = dealt.groupBy("key").agg(F.count("node").alias("cost"), F.max("n").alias("most")).where("cost > 1 AND most > 0").select("key", "cost")
@@ -262,6 +263,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 union = len(x) + len(y) - common
                 linked.append(100 * common >= percent * union)
             yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        release_memory()
 
     joined = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "one"}), "a").join(
         sets.withColumnsRenamed({"node": "b", "shingles": "two"}), "b"

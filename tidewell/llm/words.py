@@ -18,7 +18,7 @@ _FOLD = bytes(
 )
 
 #: Distinct words a worker remembers before it starts over; bounds its memory.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 def folded_words(raw: bytes | None) -> list[bytes]:
