@@ -356,6 +356,90 @@ def test_recurring_templates_go_and_fields_vary(spark):
     assert linededup.drop_recurring_lines(docs.where("false")).count() == 0
 
 
+def brute_dropped(texts):
+    """The rule of line dedup by plain loops: line numbers that each text loses."""
+    enough = lambda n: 2 if n > 50 else 5
+    lines = []
+    for doc, text in enumerate(texts):
+        for number, line in enumerate((text or "").split("\n")):
+            tokens = [t for t in line.split(" ") if t]
+            if len(tokens) >= 4:
+                lines.append((doc, number, tokens, tuple("<*>" if re.search("[0-9]", t) else t for t in tokens)))
+    leaf_of = lambda shape: (len(shape), shape[:3])
+    leaves = collections.defaultdict(set)
+    for doc, _, _, shape in lines:
+        leaves[leaf_of(shape)].add(texts[doc])
+    shapes = collections.defaultdict(set)
+    for doc, _, _, shape in lines:
+        if len(leaves[leaf_of(shape)]) >= enough(len(shape)):
+            shapes[shape].add(texts[doc])
+    support = collections.Counter()
+    for shape, its in shapes.items():
+        for at in enumerate(shape):
+            support[leaf_of(shape), at] += len(its)
+    sets, set_of = collections.Counter(), {}
+    for shape, its in shapes.items():
+        marks = frozenset(at for at in enumerate(shape) if at[1] != "<*>" and support[leaf_of(shape), at] >= enough(len(shape)))
+        if len(marks) >= 0.7 * len(shape):
+            set_of[shape] = (leaf_of(shape), marks)
+            sets[set_of[shape]] += len(its)
+    template_of = {}
+    for leaf in {one[0] for one in sets}:
+        left = {one: n for one, n in sets.items() if one[0] == leaf}
+        while left and sum(left.values()) >= enough(leaf[0]):
+            best = max(left, key=lambda one: (left[one], len(one[1])))
+            taken = [one for one in left if len(one[1] & best[1]) >= 0.7 * leaf[0]]
+            for one in taken:
+                template_of[one] = best
+                del left[one]
+    own = {}
+    members = collections.defaultdict(set)
+    for doc, number, _, shape in lines:
+        if shape in set_of and set_of[shape] in template_of:
+            own[doc, number] = template_of[set_of[shape]]
+            members[own[doc, number]].add(texts[doc])
+    recurring = {one: len(its) for one, its in members.items() if len(its) >= enough(one[0][0])}
+    placed = {}
+    for doc, number, tokens, _ in lines:
+        if own.get((doc, number)) in recurring:
+            placed[doc, number] = own[doc, number]
+            continue
+        agree = [one for one in recurring if one[0][0] == len(tokens) and sum(tokens[p] == t for p, t in one[1]) >= 0.7 * len(tokens)]
+        if agree:
+            placed[doc, number] = max(agree, key=lambda one: recurring[one])
+    first = {}
+    for (doc, _), one in placed.items():
+        first[one] = min(doc, first.get(one, doc))
+    gone = collections.defaultdict(set)
+    for (doc, number), one in placed.items():
+        if doc != first[one]:
+            gone[doc].add(number)
+    return gone
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_dropped_lines_match_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    passages = [[word() for _ in range(n)] for n in (4, 6, 10, 14, 30, 50, 51, 70)]
+    texts = []
+    for i in range(70):
+        lines = [" ".join(word() for _ in range(12))]
+        for _ in range(rnd.randrange(4)):
+            line = list(rnd.choice(passages))
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                line[rnd.randrange(len(line))] = rnd.choice([word(), f"x{i}"])
+            lines.insert(rnd.randrange(len(lines) + 1), " ".join(line))
+        texts.append("\n".join(lines))
+    texts += [texts[3], None, ""]
+    gone = brute_dropped(texts)
+    got = {r.doc_id: r for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        kept = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i])
+        assert (got[i].n_dropped, got[i].text) == (len(gone[i]), kept), i
+    assert sum(map(len, gone.values())) > 40
+
+
 def test_copies_of_a_text_are_not_boilerplate(spark):
     texts = ["a whole text that is copied many times over"] * 9
     assert {r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()} == {0}

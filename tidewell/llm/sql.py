@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import licenses, linededup, sharding
+from tidewell.llm import licenses, sharding
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lower-cases A-Z only.
@@ -106,32 +106,9 @@ SELECT doc_id, md5(text) AS text_md5, source, shard, n_docs AS shard_docs, n_byt
   (3 + (SELECT coalesce(max(merged) > 1, false)::INT FROM one) + (SELECT coalesce(max(merged) > 1, false)::INT FROM two))::BIGINT AS version
 FROM d JOIN last_of USING (arrival) JOIN two USING (shard)"""
 
-_LINE_DEDUP = rf"""
-WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
-  unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-raw AS (SELECT doc_id, text, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS r FROM l),
-k AS (SELECT doc_id, text, line_no, list_transform(r, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{linededup.WILDCARD}' ELSE x END) AS tokens
-  FROM raw WHERE len(r) >= {linededup.LEAST_TOKENS}),
-t AS (SELECT *, (len(tokens), tokens[1:{linededup.DEPTH}]) AS leaf FROM k),
-leaves AS (SELECT leaf FROM t GROUP BY leaf HAVING count(DISTINCT text) >= {linededup.LEAST_DOCUMENTS}),
-shapes AS (SELECT leaf, tokens, count(DISTINCT text) AS texts FROM t JOIN leaves USING (leaf) GROUP BY ALL),
-placed AS (SELECT leaf, tokens, texts, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM shapes),
-constants AS (SELECT leaf, pos, token FROM placed GROUP BY ALL HAVING sum(texts) >= {linededup.LEAST_DOCUMENTS}),
-fixed AS (SELECT leaf, tokens, list((pos, token) ORDER BY pos) AS marks, count(*) AS n FROM placed JOIN constants USING (leaf, pos, token)
-  WHERE token <> '{linededup.WILDCARD}' GROUP BY leaf, tokens),
-templates AS (SELECT tokens, leaf, marks FROM fixed WHERE n >= {linededup.SIMILAR} * len(tokens)),
-recurring AS (SELECT p.leaf, p.marks, min(t.doc_id) AS first_doc FROM t JOIN templates p USING (tokens)
-  GROUP BY p.leaf, p.marks HAVING count(DISTINCT t.text) >= {linededup.LEAST_DOCUMENTS}),
-gone AS (SELECT t.doc_id, list(t.line_no) AS gone FROM t JOIN templates p USING (tokens) JOIN recurring r ON r.leaf = p.leaf AND r.marks = p.marks
-  WHERE t.doc_id <> r.first_doc GROUP BY t.doc_id)
-SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
-  sha256(array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(coalesce(gone, []), i - 1)), chr(10))) AS text_sha256
-FROM documents d LEFT JOIN gone USING (doc_id)"""
-
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _license_sql(),
     "op2_chat_format": _CHAT,
     "op3_sharding": _SHARDING,
     "op4_decontaminate": _DECONTAMINATE,
-    "op7_line_dedup": _LINE_DEDUP,
 }
