@@ -87,9 +87,9 @@ def zscore_expanding(c: Column | str, least: int) -> Column:
     return full(z, col(c), expanding(), least)
 
 
-def percentile_prior(c: Column | str, least: int, most: int = 100_000) -> Column:
-    """Share of the rows before that are not above this one; a series holds at most ``most`` days."""
-    before = F.collect_list(col(c)).over(series().rowsBetween(-most, -1))
+def percentile_prior(c: Column | str, least: int) -> Column:
+    """Share of all rows before that are not above this one."""
+    before = F.collect_list(col(c)).over(all_prior())
     share = F.size(F.filter(before, lambda v: v <= col(c))) / F.nullif(F.size(before), F.lit(0))
     return F.when(F.size(before) >= least, share)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.calendar import market_holidays, session_ladder
-from tidewell.functions.scalars import finite, fnv1a, log_ratio, rounded
+from tidewell.functions.scalars import finite, log_ratio, rounded
 from tidewell.operators import joins, metrics, scans
 from tidewell.operators import windows as w
 from tidewell.plans.common import BARS, MACRO, MARKET, S, last_rows, query, r, rows_before
@@ -232,13 +232,6 @@ def sessions(spark, sf_dir):
     return session_ladder(spark, 1995, 2030)
 
 
-@query("fnv_seeds", None)
-def fnv_seeds(spark, sf_dir):
-    """Seeds of paths from their identities."""
-    assets = order_bars(spark, sf_dir).select("asset_id").distinct()
-    return assets.select("asset_id", fnv1a(F.concat(F.col("asset_id"), F.lit("|30"))).alias("seed"))
-
-
 @query("regime_classify", f"""WITH {MARKET}, s AS (SELECT date, CASE WHEN count(close) {last_rows(50)} = 50 THEN close / avg(close) {last_rows(50)} - 1 END AS gap, close / max(close) OVER ({S} ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM bars),
   p AS (SELECT date, 0.4 + greatest(gap, 0) AS bull, 0.4 + greatest(-fall - 0.3, 0) AS bear, 0.4 + greatest(0.2 - abs(gap), 0) AS range_ FROM s WHERE gap IS NOT NULL)
   SELECT date, CASE WHEN bull >= bear AND bull >= range_ THEN 'bull' WHEN bear >= range_ THEN 'bear' ELSE 'range' END AS regime, {r('greatest(bull, bear, range_) / (bull + bear + range_)')} AS probability FROM p""")
