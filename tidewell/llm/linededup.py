@@ -134,19 +134,23 @@ def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
             return found
 
 
-def runs_of(tokens: Column, similar: float = SIMILAR) -> Column:
-    """Hashes of the runs of tokens, null for those with a null: one more run than tokens may differ, so lines that agree share a run."""
+def runs_of(tokens: Column, similar: float = SIMILAR, variable: bool = False) -> Column:
+    """Hashes of the runs of tokens: one more run than tokens may differ, so lines that agree share a run.  With ``variable`` tokens, null for runs with a null."""
     n = F.size(tokens)
     n_runs = n - F.ceil(similar * n) + 1
     at = lambda i: F.floor(i * n / n_runs).cast("int")
     run = lambda i: F.slice(tokens, at(i) + 1, at(i + 1) - at(i))
-    return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), lambda i: F.when(~F.exists(run(i), F.isnull), F.xxhash64(n, i, run(i))))
+    hashed = lambda i: F.xxhash64(n, i, run(i))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), (lambda i: F.when(~F.exists(run(i), F.isnull), hashed(i))) if variable else hashed)
 
 
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line."""
-    runs = templates.select("template", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).where("run IS NOT NULL")
+    runs = templates.select("template", F.explode(runs_of(F.col("tokens"), similar, variable=True)).alias("run")).where("run IS NOT NULL")
     runs = small(settled(runs, "runs"), BROADCAST_RUNS)
+    # only lines with as many tokens as some template; numbers of tokens are few
+    sizes = small(settled(templates.select(F.size("tokens").alias("n_tokens")).distinct(), "sizes"), BROADCAST_LEAVES)
+    lines = lines.withColumn("n_tokens", F.size("tokens")).join(sizes, "n_tokens", "left_semi")
     met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).join(runs, "run")
     its = templates.select("template", "texts", F.col("marks").alias("its"))
     agrees = F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")
