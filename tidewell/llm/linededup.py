@@ -44,6 +44,8 @@ LEAST_DOCUMENTS = 5
 LONG_TOKENS = 50
 LEAST_LONG = 2
 LEAST_TOKENS = 4
+#: A line of LEAST_TOKENS tokens or more: read no further than its last needed token.
+ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 #: Leaves up to this many are broadcast (8 bytes each).
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
@@ -60,8 +62,10 @@ def masked(tokens: Column) -> Column:
 
 def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, digest (of the text), line_no, tokens (split at blanks), leaf: the lines with LEAST_TOKENS tokens or more."""
-    lines = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
+    # the digest comes before the lines are dealt out, so a text is hashed once, and a line is split once, after the filter
+    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(F.col(text), "\n", -1).alias("lines"))
+    lines = texts.select("doc_id", "digest", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(ENOUGH_TOKENS))
+    tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens"))
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
 
 
@@ -95,9 +99,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def constant_sets(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """leaf, shape, texts, n_tokens, tokens (null where variable), marks, set (a hash of leaf and marks): masked lines with enough constants."""
     # one row for each distinct masked line
-    distinct = settled(
-        known.groupBy("leaf", "shape").agg(F.any_value("tokens").alias("tokens"), F.countDistinct("digest").alias("texts")), "shapes"
-    )
+    distinct = settled(known.groupBy("leaf", "shape", "tokens").agg(F.countDistinct("digest").alias("texts")), "shapes")
     placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
     support = placed.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("texts").alias("support"))
     constants = support.where(F.col("support") >= enough_texts(F.col("n_tokens"), least_documents))
@@ -134,24 +136,31 @@ def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
             return found
 
 
-def runs_of(tokens: Column, similar: float = SIMILAR, variable: bool = False) -> Column:
-    """Hashes of the runs of tokens: one more run than tokens may differ, so lines that agree share a run.  With ``variable`` tokens, null for runs with a null."""
-    n = F.size(tokens)
-    n_runs = n - F.ceil(similar * n) + 1
-    at = lambda i: F.floor(i * n / n_runs).cast("int")
-    run = lambda i: F.slice(tokens, at(i) + 1, at(i + 1) - at(i))
-    hashed = lambda i: F.xxhash64(n, i, run(i))
-    return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), (lambda i: F.when(~F.exists(run(i), F.isnull), hashed(i))) if variable else hashed)
+def bounds_of(n_tokens: Column, similar: float = SIMILAR) -> Column:
+    """no, start and size of the runs of a line with so many tokens: one more run than tokens may differ, so lines that agree share a run."""
+    n_runs = n_tokens - F.ceil(similar * n_tokens) + 1
+    at = lambda i: F.floor(i * n_tokens / n_runs).cast("int")
+    bounds = lambda i: F.struct(i.alias("no"), (at(i) + 1).alias("start"), (at(i + 1) - at(i)).alias("size"))
+    return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), bounds)
+
+
+def runs_of(tokens: Column, bounds: Column, variable: bool = False) -> Column:
+    """Hashes of the runs of tokens.  With ``variable`` tokens, null for runs with a null."""
+    run = lambda at: F.slice(tokens, at["start"], at["size"])
+    hashed = lambda at: F.xxhash64(F.size(tokens), at["no"], run(at))
+    return F.transform(bounds, (lambda at: F.when(~F.exists(run(at), F.isnull), hashed(at))) if variable else hashed)
 
 
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line."""
-    runs = templates.select("template", F.explode(runs_of(F.col("tokens"), similar, variable=True)).alias("run")).where("run IS NOT NULL")
+    runs = runs_of(F.col("tokens"), bounds_of(F.size("tokens"), similar), variable=True)
+    runs = templates.select("template", F.explode(runs).alias("run")).where("run IS NOT NULL")
     runs = small(settled(runs, "runs"), BROADCAST_RUNS)
-    # only lines with as many tokens as some template; numbers of tokens are few
-    sizes = small(settled(templates.select(F.size("tokens").alias("n_tokens")).distinct(), "sizes"), BROADCAST_LEAVES)
-    lines = lines.withColumn("n_tokens", F.size("tokens")).join(sizes, "n_tokens", "left_semi")
-    met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), similar)).alias("run")).join(runs, "run")
+    # only lines with as many tokens as some template; numbers of tokens are few, and each has its bounds once
+    sizes = templates.select(F.size("tokens").alias("n_tokens")).distinct()
+    sizes = small(settled(sizes.withColumn("bounds", bounds_of(F.col("n_tokens"), similar)), "sizes"), BROADCAST_LEAVES)
+    lines = lines.withColumn("n_tokens", F.size("tokens")).join(sizes, "n_tokens")
+    met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), F.col("bounds"))).alias("run")).join(runs, "run")
     its = templates.select("template", "texts", F.col("marks").alias("its"))
     agrees = F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")
     met = met.drop("run").distinct().join(its, "template")
