@@ -50,8 +50,8 @@ ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
-#: Runs of templates up to this many are broadcast (16 bytes each).
-BROADCAST_RUNS = 2_000_000
+#: Runs of templates up to this many are broadcast (some 100 bytes each).
+BROADCAST_RUNS = 500_000
 WILDCARD = "<*>"
 
 
@@ -66,7 +66,8 @@ def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(F.col(text), "\n", -1).alias("lines"))
     lines = texts.select("doc_id", "digest", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(ENOUGH_TOKENS))
     tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens"))
-    return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), masked(F.slice("tokens", 1, DEPTH))))
+    leading = (F.get("tokens", F.lit(i)) for i in range(DEPTH))
+    return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.array(*(F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t) for t in leading))))
 
 
 def lines_of_leaves(lines: DataFrame, leaves: DataFrame, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
@@ -151,20 +152,54 @@ def runs_of(tokens: Column, bounds: Column, variable: bool = False) -> Column:
     return F.transform(bounds, (lambda at: F.when(~F.exists(run(at), F.isnull), hashed(at))) if variable else hashed)
 
 
+def runs_of_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """run, template, texts, top, earlier: the runs of templates; in each run the best supported template is its top; earlier are the runs before it of that template that are top, or not, as well."""
+    runs = F.posexplode(runs_of(F.col("tokens"), bounds_of(F.size("tokens"), similar), variable=True)).alias("no", "run")
+    runs = settled(templates.select("template", "texts", runs).where("run IS NOT NULL"), "runs")
+    best = runs.groupBy("run").agg(F.max(F.struct("texts", "template")).alias("best"))
+    runs = runs.join(best, "run").withColumn("top", F.col("best.template") == F.col("template"))
+    its = runs.groupBy("template", "texts", "top").agg(F.array_sort(F.collect_list(F.struct("no", "run"))).alias("its"))
+    return settled(
+        its.select("template", "texts", "top", F.col("its.run").alias("its"), F.posexplode(F.col("its.run")).alias("at", "run")).select(
+            "run", "template", "texts", "top", F.slice("its", F.lit(1), F.col("at")).alias("earlier")
+        ),
+        "earlier",
+    )
+
+
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line."""
-    runs = runs_of(F.col("tokens"), bounds_of(F.size("tokens"), similar), variable=True)
-    runs = templates.select("template", F.explode(runs).alias("run")).where("run IS NOT NULL")
-    runs = small(settled(runs, "runs"), BROADCAST_RUNS)
+    """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line.  The best supported one of a line is among its rows.
+
+    A line meets the top template of each of its runs first, and the others of
+    those runs only if they are better supported than one that it agrees with,
+    so a passage with a thousand edits and dozens of templates makes no row for
+    each two of them.  A line and a template meet in the first run they share.
+    """
+    runs = runs_of_templates(templates, similar)
     # only lines with as many tokens as some template; numbers of tokens are few, and each has its bounds once
     sizes = templates.select(F.size("tokens").alias("n_tokens")).distinct()
     sizes = small(settled(sizes.withColumn("bounds", bounds_of(F.col("n_tokens"), similar)), "sizes"), BROADCAST_LEAVES)
-    lines = lines.withColumn("n_tokens", F.size("tokens")).join(sizes, "n_tokens")
-    met = lines.select("doc_id", "digest", "line_no", "tokens", F.explode(runs_of(F.col("tokens"), F.col("bounds"))).alias("run")).join(runs, "run")
-    its = templates.select("template", "texts", F.col("marks").alias("its"))
-    agrees = F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")
-    met = met.drop("run").distinct().join(its, "template")
-    return met.where(agrees).select("doc_id", "digest", "line_no", "template", "texts")
+    its = small(templates.select("template", F.col("marks").alias("its")), BROADCAST_TEMPLATES)
+    agrees = (F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")).alias("agrees")
+    line = ("doc_id", "digest", "line_no", "tokens", "runs")
+
+    def met(lines: DataFrame, runs: DataFrame, label: str) -> DataFrame:
+        # runs are a column before they are exploded, so that no row of a run carries its line unless it meets a template;
+        # explode_outer, as a filter on the size of the runs would hash them again
+        at = lines.withColumn("key", F.explode_outer("runs"))
+        runs = small(runs.drop("top"), BROADCAST_RUNS)
+        first = (F.col("key") == F.col("run")) & ~F.arrays_overlap("runs", "earlier")
+        if "least" in lines.columns:
+            first &= F.col("least").isNull() | (F.struct("texts", "template") > F.col("least"))
+        return settled(at.join(runs, first).join(its, "template").select(*line, "template", "texts", agrees), label)
+
+    # never null, so that no filter on nulls splits a line or hashes its runs a second time
+    sized = lines.withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0))).join(sizes, "n_tokens")
+    hashed = F.coalesce(runs_of(F.col("tokens"), F.col("bounds")), F.array().cast("array<bigint>"))
+    tops = met(sized.select(*line[:-1], hashed.alias("runs")), runs.where("top"), "tops")
+    least = F.max(F.when(F.col("agrees"), F.struct("texts", "template"))).alias("least")
+    others = met(tops.groupBy(*line).agg(least), runs.where("NOT top"), "others")
+    return tops.unionByName(others).where("agrees").select("doc_id", "digest", "line_no", "template", "texts")
 
 
 def recurring_lines(
