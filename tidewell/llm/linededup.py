@@ -29,7 +29,7 @@ go first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.workspace import free_name, settled
@@ -50,8 +50,8 @@ ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
-#: Runs of templates up to this many are broadcast (some 100 bytes each).
-BROADCAST_RUNS = 500_000
+#: Runs of templates up to this many are broadcast (32 bytes each).
+BROADCAST_RUNS = 2_000_000
 WILDCARD = "<*>"
 
 
@@ -153,18 +153,13 @@ def runs_of(tokens: Column, bounds: Column, variable: bool = False) -> Column:
 
 
 def runs_of_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """run, template, texts, top, earlier: the runs of templates; in each run the best supported template is its top; earlier are the runs before it of that template that are top, or not, as well."""
+    """run, template, texts, top, before: the runs of templates; in each run the best supported template is its top; before is the run before it of that template that is top, or not, as well."""
     runs = F.posexplode(runs_of(F.col("tokens"), bounds_of(F.size("tokens"), similar), variable=True)).alias("no", "run")
     runs = settled(templates.select("template", "texts", runs).where("run IS NOT NULL"), "runs")
     best = runs.groupBy("run").agg(F.max(F.struct("texts", "template")).alias("best"))
     runs = runs.join(best, "run").withColumn("top", F.col("best.template") == F.col("template"))
-    its = runs.groupBy("template", "texts", "top").agg(F.array_sort(F.collect_list(F.struct("no", "run"))).alias("its"))
-    return settled(
-        its.select("template", "texts", "top", F.col("its.run").alias("its"), F.posexplode(F.col("its.run")).alias("at", "run")).select(
-            "run", "template", "texts", "top", F.slice("its", F.lit(1), F.col("at")).alias("earlier")
-        ),
-        "earlier",
-    )
+    before = F.lag("run").over(Window.partitionBy("template", "top").orderBy("no"))
+    return settled(runs.select("run", "template", "texts", "top", before.alias("before")), "before")
 
 
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -173,7 +168,8 @@ def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SI
     A line meets the top template of each of its runs first, and the others of
     those runs only if they are better supported than one that it agrees with,
     so a passage with a thousand edits and dozens of templates makes no row for
-    each two of them.  A line and a template meet in the first run they share.
+    each two of them.  A line and a template meet only where the runs that they
+    share begin, not in each of a row of shared runs.
     """
     runs = runs_of_templates(templates, similar)
     # only lines with as many tokens as some template; numbers of tokens are few, and each has its bounds once
@@ -187,18 +183,23 @@ def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SI
         # runs are a column before they are exploded, so that no row of a run carries its line unless it meets a template;
         # explode_outer, as a filter on the size of the runs would hash them again
         at = lines.withColumn("key", F.explode_outer("runs"))
-        runs = small(runs.drop("top"), BROADCAST_RUNS)
-        first = (F.col("key") == F.col("run")) & ~F.arrays_overlap("runs", "earlier")
+        few = small(runs, BROADCAST_RUNS)
+        if few is runs:  # too many to broadcast: only short rows are shuffled by run, and then the lines that meet any
+            hit = at.select("doc_id", "digest", "line_no", "key").join(runs, F.col("key") == F.col("run"), "left_semi")
+            hit = hit.select(*(F.col(c).alias(f"hit_{c}") for c in ("doc_id", "digest", "line_no"))).distinct()
+            same = [F.col(c).eqNullSafe(F.col(f"hit_{c}")) for c in ("doc_id", "digest", "line_no")]
+            at = lines.join(settled(hit, "hit"), same, "left_semi").withColumn("key", F.explode_outer("runs"))
+        begins = (F.col("key") == F.col("run")) & (F.col("before").isNull() | ~F.array_contains("runs", F.col("before")))
         if "least" in lines.columns:
-            first &= F.col("least").isNull() | (F.struct("texts", "template") > F.col("least"))
-        return settled(at.join(runs, first).join(its, "template").select(*line, "template", "texts", agrees), label)
+            begins &= F.col("least").isNull() | (F.struct("texts", "template") > F.col("least"))
+        return settled(at.join(few, begins).join(its, "template").select(*line, "template", "texts", agrees), label)
 
     # never null, so that no filter on nulls splits a line or hashes its runs a second time
     sized = lines.withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0))).join(sizes, "n_tokens")
     hashed = F.coalesce(runs_of(F.col("tokens"), F.col("bounds")), F.array().cast("array<bigint>"))
-    tops = met(sized.select(*line[:-1], hashed.alias("runs")), runs.where("top"), "tops")
+    tops = met(sized.select(*line[:-1], hashed.alias("runs")), runs.where("top").drop("top"), "tops")
     least = F.max(F.when(F.col("agrees"), F.struct("texts", "template"))).alias("least")
-    others = met(tops.groupBy(*line).agg(least), runs.where("NOT top"), "others")
+    others = met(tops.groupBy(*line).agg(least), runs.where("NOT top").drop("top"), "others")
     return tops.unionByName(others).where("agrees").select("doc_id", "digest", "line_no", "template", "texts")
 
 
