@@ -445,7 +445,7 @@ def test_copies_of_a_text_are_not_boilerplate(spark):
     assert {r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()} == {0}
 
 
-def test_words_edited_at_different_positions_share_a_template(spark):
+def test_words_edited_at_different_positions_share_a_template(spark, monkeypatch):
     passage = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
     edited = [" ".join([*passage[:i], f"other{chr(97 + i % 26)}{chr(97 + i // 26)}", *passage[i + 1 :]]) for i in range(40)]
     posted = [f"Posted by {who} in news" for who in ["admin"] * 6 + ["bob", "eve"]]
@@ -453,6 +453,11 @@ def test_words_edited_at_different_positions_share_a_template(spark):
     texts += ["x\nPosted at noon for sale", "y\n" + " ".join(passage[:30] + [f"z{w}" for w in passage[30:]])]
     got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
     assert {i for i, n in got.items() if not n} == {0, 40, 48, 49}
+    # the same where runs and templates are too many to broadcast
+    with monkeypatch.context() as patch:
+        patch.setattr(linededup, "BROADCAST_RUNS", 0)
+        patch.setattr(linededup, "BROADCAST_TEMPLATES", 0)
+        assert {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()} == got
 
 
 def test_long_passages_recur_from_two_texts(spark):
