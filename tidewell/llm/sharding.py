@@ -160,7 +160,8 @@ class ShardStore:
         folders = defaultdict(list)
         for row in (manifest if manifest is not None else self.manifest()).select("folder", "part", "shard").collect():  # paths, as a reader needs them
             folders[row.folder, row.part].append(f"{row.folder}/{row.part}={row.shard}")
-        whole = self.spark.createDataFrame([], StructType([*schema.fields]).add(shard, "long") if shard else schema)
+        fields = StructType([*schema.fields]).add(shard, "long") if shard else schema
+        whole = self.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields))
         for (folder, part), paths in folders.items():
             found = self.spark.read.schema(StructType([*schema.fields]).add(part, "long")).option("basePath", folder).parquet(*paths)
             found = found.withColumnRenamed(part, shard) if shard else found.drop(part)
