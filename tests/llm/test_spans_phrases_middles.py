@@ -186,7 +186,7 @@ def test_bitmaps_extend_across_blocks_in_groups(monkeypatch):
         hashes = np.arange(6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         want = collections.Counter(tuple(ids[i : i + k]) for k in (2, 3, 4) for i in range(len(ids) - k + 1) if 0 not in ids[i : i + k])
         got = collections.Counter()
-        for words, _, counts in collocations.Shard(ids, hashes).phrases(4, []):
+        for words, _, counts in collocations.Shard(ids, hashes, []).phrases(4):
             for row, n in zip(words.tolist(), counts.tolist(), strict=True):
                 assert tuple(row) not in got
                 got[tuple(row)] = n

@@ -2,9 +2,10 @@ r"""Phrase collocation mining over position bitmaps.
 
 Texts are lower-cased (A-Z), cut into pieces at ``.,;:!?`` and line breaks, and
 pieces into words at blanks and tabs.  A task lays the words of its rows out as
-shards: one row of positions for each language, with an empty position between
-pieces.  A shard holds each word as a compressed position bitmap, which lists
-only the blocks of 16 positions where the word stands, as (block, mask).
+shards, which are written once: the words of one language as numbers by
+position, with an empty position between pieces.  Within a shard each word is a
+compressed position bitmap, which lists only the blocks of 16 positions where
+the word stands, as (block, mask).
 A phrase's bitmap marks its last words.  Shifting it by one position and taking
 AND with the bitmap of a word gives the bitmap of the longer phrase; as the
 positions between pieces are in no bitmap, phrases end with their piece.
@@ -13,14 +14,15 @@ occurrences in the corpus.  Phrases are extended depth-first: a group of first
 words is carried to the full length before the next group starts, so a task's
 memory is bounded by SHARD_WORDS and GROUP_ENTRIES.
 
-A phrase that is frequent consists of frequent phrases, so three passes prune
-what is extended: the first sums all pairs (as 64-bit hashes), the second the
-triples of frequent pairs, the third all phrases, as words, that may be frequent
-by then.  What is frequent reaches the tasks as a bit table of FILTER_BITS bits:
-a hash with its bit unset is not frequent, one with its bit set may be.  So the
-table and clashes of hashes cost work but change nothing: the counts of the last
-pass are exact, of words themselves.  The table has a fixed size; where the
-frequent phrases of a corpus fill it, more phrases are counted in vain.
+A phrase that is frequent consists of frequent phrases, so three passes over the
+shards prune what is extended: the first sums words and pairs (as 64-bit
+hashes), the second the triples of frequent pairs, the third all phrases, as
+words, that may be frequent by then.  What is frequent reaches the tasks as a
+bit table of FILTER_BITS bits: a hash with its bit unset is not frequent, one
+with its bit set may be; words that are not frequent leave an empty position.
+So the tables and clashes of hashes cost work but change nothing: the counts of
+the last pass are exact, of words themselves.  The tables have a fixed size;
+where the frequent phrases of a corpus fill them, more is counted in vain.
 
 Defined results: null text is empty; a null language is ``und``; repeated rows
 each count; other columns are ignored; empty tables give no rows.
@@ -28,6 +30,7 @@ each count; other columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +53,9 @@ ABSORBED = 80
 SCALE = 2_000_000
 UNKNOWN = "und"
 
-#: Positions of a task's shards, and bitmap entries that are extended together.
+#: Positions of the shards that a task fills at a time, shards of a file, and bitmap entries that are extended together.
 SHARD_WORDS = 2_000_000
+FILE_SHARDS = 16
 GROUP_ENTRIES = 150_000
 #: Bits of the table of phrases that may be frequent (16 MB).
 FILTER_BITS = 27
@@ -136,14 +140,27 @@ def extended(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """The positions of one language in a task, and the phrases in them."""
-
-    def __init__(self, ids: np.ndarray, hashes: np.ndarray):
+    """The positions of one language in a task, and the phrases in them; words that ``pruned`` rules out are left empty."""
+
+    def __init__(self, ids: np.ndarray, hashes: np.ndarray, pruned: list[MayBeFrequent]):
+        #: Words of the shard, also those that are ruled out.
+        self.size = int(np.count_nonzero(ids))
+        if pruned:
+            alive = pruned[0](hashes)
+            alive[0] = False
+            ids = ids * alive[ids]
+        self.ids, self.hashes, self.pruned = ids, hashes, pruned
         self.words = word_bitmaps(ids)
-        self.hashes = hashes
         counts = np.bincount(self.words.blocks, minlength=(self.words.blocks[-1] + 3 if len(self.words) else 2))
         self.first = np.concatenate([[0], np.cumsum(counts)])
 
+    def singles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words, as numbers, and their occurrences."""
+        counts = np.bincount(self.ids)
+        counts[:1] = 0
+        found = np.flatnonzero(counts)
+        return found, counts[found]
+
     def follow(self, prefixes: Bitmaps) -> tuple[Bitmaps, np.ndarray]:
         """AND of the shifted bitmaps with those of the words in the same blocks: entries that are not empty, and their new word."""
         moved = prefixes.shifted()
@@ -155,8 +172,8 @@ class Shard:
         of, at = of[live], at[live]
         return Bitmaps(moved.keys[of], moved.blocks[of], both[live]), self.words.keys[at]
 
-    def phrases(self, longest: int, pruned: list[MayBeFrequent]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(words, hashes, popcounts) of phrases from two words on; ``pruned`` tells for 2, 3.. words which phrases are looked at.
+    def phrases(self, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, hashes, popcounts) of the phrases from two words on that may be frequent.
 
         Each group of first words is carried to ``longest`` words before the next one starts.
         """
@@ -167,9 +184,9 @@ class Shard:
         edges = [*firsts[heads[heads < len(firsts)]], len(by_word)]
         for low, high in zip(edges[:-1], edges[1:], strict=True):
             group = by_word.take(slice(low, high))
-            yield from self._deeper(group, group.keys[:, None], longest, pruned)
+            yield from self._deeper(group, group.keys[:, None], longest)
 
-    def _deeper(self, prefixes: Bitmaps, words: np.ndarray, longest: int, pruned: list[MayBeFrequent]) -> Iterator:
+    def _deeper(self, prefixes: Bitmaps, words: np.ndarray, longest: int) -> Iterator:
         """``words`` has the phrase of each entry; keys of entries number the distinct phrases."""
         depth = words.shape[1] + 1
         distinct, place = np.unique(prefixes.keys, return_index=True)
@@ -184,7 +201,7 @@ class Shard:
         for j in range(1, depth):
             hashes = extended(hashes, self.hashes[found[:, j]])
         keep = np.ones(len(found), bool)
-        for size, allowed in enumerate(pruned, 2):
+        for size, allowed in enumerate(self.pruned, 2):
             if size == depth:
                 keep &= allowed(hashes)
             elif size < depth:
@@ -197,54 +214,76 @@ class Shard:
         if depth < longest:
             live = np.flatnonzero(keep[place])
             if len(live):
-                yield from self._deeper(Bitmaps(place[live], pairs.blocks[live], pairs.masks[live]), found[place[live]], longest, pruned)
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], list[bytes]]]:
-    """The rows of a task as numbered positions for each language, with the words in order of their numbers."""
-    numbers, rows, size = _Numbers({_GAP: 0}), {}, 0
-    for batch in batches:
-        for lang, raw in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
-            words = pieces_as_words(raw or b"")
-            if len(words) < 2:
-                continue
-            rows.setdefault(lang, []).append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-            size += len(words)
-            if size >= SHARD_WORDS:
-                yield {k: np.concatenate(v) for k, v in rows.items()}, list(numbers)
-                numbers, rows, size = _Numbers({_GAP: 0}), {}, 0
-    if size:
-        yield {k: np.concatenate(v) for k, v in rows.items()}, list(numbers)
-
+                yield from self._deeper(Bitmaps(place[live], pairs.blocks[live], pairs.masks[live]), found[place[live]], longest)
+
+
+def shards_of(docs: DataFrame) -> DataFrame:
+    """lang, ids (32-bit numbers by position, 0 where a piece ends), words (blank between them, in order of their numbers from 1)."""
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: defaultdict[str, _Numbers] = defaultdict(lambda: _Numbers({_GAP: 0}))
+        rows: defaultdict[str, list] = defaultdict(list)
+        size = 0
+
+        def filled() -> Iterator[pa.RecordBatch]:
+            for lang, parts in rows.items():
+                words = b" ".join(list(numbers[lang])[1:])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()), pa.array([np.concatenate(parts).tobytes()], pa.binary()), pa.array([words], pa.binary())], names=["lang", "ids", "words"]
+                )
+
+        for batch in batches:
+            for lang, raw in zip(batch.column(0).to_pylist(), binary_column(batch, "text"), strict=True):
+                words = pieces_as_words(raw or b"")
+                if len(words) > 1:
+                    rows[lang].append(np.fromiter(map(numbers[lang].__getitem__, words), np.int32, len(words)))
+                    size += len(words)
+                    if size >= SHARD_WORDS:
+                        yield from filled()
+                        numbers.clear()
+                        rows.clear()
+                        size = 0
+        yield from filled()
+        release_memory()
 
-def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    seed = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+    source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string"))
+    return source.mapInArrow(lay_out, "lang string, ids binary, words binary")
 
 
-def _rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string"))
+def _opened(batches: Iterator[pa.RecordBatch], pruned: list[Broadcast]) -> Iterator[tuple[str, list[bytes], Shard]]:
+    allowed = [MayBeFrequent(table.value) for table in pruned]
+    for batch in batches:
+        for n in range(batch.num_rows):
+            lang, ids, words = (batch.column(c)[n].as_py() for c in range(3))
+            words = [_GAP, *words.split(b" ")]
+            seed = xxhash.xxh3_64_intdigest(lang.encode())
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+            yield lang, words, Shard(np.frombuffer(ids, np.int32), hashes, allowed)
 
 
-def _hashed_counts(docs: DataFrame, size: int, pruned: list[Broadcast]) -> DataFrame:
-    """hash, a: occurrences in each shard of the phrases of ``size`` words that may be frequent."""
+def _hashed_counts(shards: DataFrame, size: int, pruned: list[Broadcast]) -> DataFrame:
+    """hash, a: occurrences in each shard of the phrases of ``size`` words that may be frequent; with pairs come the words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = [MayBeFrequent(table.value) for table in pruned]
-        for rows, words in _shards(batches):
-            for lang, ids in rows.items():
-                for found, hashes, counts in Shard(ids, _hashes(lang, words)).phrases(size, allowed):
-                    if found.shape[1] == size and len(found):
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "a"])
+        for _, _, shard in _opened(batches, pruned):
+            if size == 2:
+                found, counts = shard.singles()
+                yield pa.RecordBatch.from_arrays([pa.array(shard.hashes[found].view(np.int64)), pa.array(counts)], names=["hash", "a"])
+            for found, hashes, counts in shard.phrases(size):
+                if found.shape[1] == size and len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "a"])
         release_memory()
 
-    return _rows_of(docs).mapInArrow(count, "hash long, a long")
+    return shards.mapInArrow(count, "hash long, a long")
 
 
 def _filter_of(counts: DataFrame, least: int) -> Broadcast:
-    """The bit table of hashes that occur at least so often; at most 2 ** FILTER_BITS bits reach the driver."""
+    """The bit table of hashes that occur at least so often; at most 2 ** FILTER_BITS bits reach the driver.
+
+    Rows are distinct within a shard, so they go to their hash's partition before any are summed.
+    """
     spark = counts.sparkSession
-    frequent = counts.groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    frequent = counts.repartition("hash").groupBy("hash").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     bit = F.shiftrightunsigned(F.col("hash"), 64 - FILTER_BITS)
     parts = frequent.select(bit.alias("bit")).selectExpr("cast(bit >> 5 as int) AS word", "shiftleft(1L, cast(bit & 31 as int)) AS mask")
     table = np.zeros(2**FILTER_BITS // 32, "<u4")
@@ -258,13 +297,12 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
 
     A phrase of no words has the number of all words of its language.
     """
+    shards = settled(shards_of(docs), "positions", maxRecordsPerFile=str(FILE_SHARDS))
     pruned: list[Broadcast] = []
     for size in range(2, longest):
-        pruned.append(_filter_of(_hashed_counts(docs, size, pruned), least))
+        pruned.append(_filter_of(_hashed_counts(shards, size, pruned), least))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = [MayBeFrequent(table.value) for table in pruned]
-
         def batch_of(lang: str, phrases: list[bytes], words: int, counts) -> pa.RecordBatch:
             n = len(phrases)
             return pa.RecordBatch.from_arrays(
@@ -272,19 +310,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
                 names=["lang", "phrase", "words", "a"],
             )
 
-        for rows, words in _shards(batches):
-            for lang, ids in rows.items():
-                for found, _, counts in Shard(ids, _hashes(lang, words)).phrases(longest, allowed):
-                    if len(found):
-                        yield batch_of(lang, [b" ".join([words[i] for i in row]) for row in found.tolist()], found.shape[1], counts)
-                singles = np.bincount(ids, minlength=len(words))
-                singles[0] = 0
-                chosen = np.flatnonzero(singles)
-                yield batch_of(lang, [words[i] for i in chosen], 1, singles[chosen])
-                yield batch_of(lang, [b""], 0, [int(singles.sum())])
+        for lang, words, shard in _opened(batches, pruned):
+            for found, _, counts in shard.phrases(longest):
+                if len(found):
+                    yield batch_of(lang, [b" ".join([words[i] for i in row]) for row in found.tolist()], found.shape[1], counts)
+            found, counts = shard.singles()
+            yield batch_of(lang, [words[i] for i in found], 1, counts)
+            yield batch_of(lang, [b""], 0, [shard.size])
         release_memory()
 
-    found = _rows_of(docs).mapInArrow(count, "lang string, phrase string, words int, a long")
+    found = shards.mapInArrow(count, "lang string, phrase string, words int, a long")
     summed = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
     return summed.where((F.col("a") >= least) | (F.col("words") == 0))
 

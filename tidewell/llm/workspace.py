@@ -50,12 +50,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
+def settled(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later steps start from files, not from lineage.
 
     Nothing reads the shuffle files of that write again, so Spark is told to
     remove them at its end instead of at some later garbage collection.  Batches
     for Python workers hold BATCH_ROWS rows or some BATCH_BYTES meanwhile.
+    ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
@@ -64,7 +65,7 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     for key, value in wanted.items():
         spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         for key, value in before.items():
             if value is None:
