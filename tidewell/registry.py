@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import events, forecasting, joined, simulated, trends, windows  # noqa: F401
+from tidewell.plans import benchmark, events, forecasting, joined, simulated, trends, windows  # noqa: F401
 from tidewell.plans.common import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "n22_scoreboard"
