@@ -58,8 +58,14 @@ def test_prior_z_leaves_the_row_out(spark):
     assert column(bars(spark, [1, 2, 100]), w.zscore_prior("close", 10, 2))[-1] == pytest.approx(197)
 
 
-def test_percentile_prior(spark):
-    assert column(bars(spark, [3, 1, 2, 5]), w.percentile_prior("close", 2)) == [None, None, 0.5, 1.0]
+def test_running_ranks(spark):
+    def ranks(values, least, inclusive=False):
+        found = scans.with_ranks(bars(spark, values).repartition(3), {"close": "rank"}, least, inclusive)
+        return [r["rank"] for r in found.orderBy("date").collect()]
+
+    assert ranks([3, 1, 2, 5], 2) == [None, None, 0.5, 1.0]
+    assert ranks([3, None, 1, 1, 5], 2) == [None, None, None, 0.5, 1.0]
+    assert ranks([3, None, 1, 1, 5], 1, inclusive=True) == pytest.approx([1.0, None, 0.5, 2 / 3, 1.0])
 
 
 def test_ewma_and_skew(spark):

@@ -5,6 +5,7 @@ A series is one asset's days, so a scan's group is bounded by the calendar.
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -95,3 +96,31 @@ def gap_segments(rows: DataFrame, keys: list[str], order: str, days: int) -> Dat
     along = Window.partitionBy(*keys).orderBy(order)
     far = F.coalesce(F.datediff(order, F.lag(order).over(along)) > days, F.lit(False)).cast("int")
     return rows.withColumn("_far", far).withColumn("segment", F.sum("_far").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_far")
+
+
+def running_ranks(values: np.ndarray, least: int, inclusive: bool = False) -> np.ndarray:
+    """Share of the values before each one (with itself, if ``inclusive``) that are not above it, once there are ``least``; missing values are passed over.
+
+    The values so far are kept sorted, so a step is a search.
+    """
+    out, seen = np.full(len(values), np.nan), []
+    for i, v in enumerate(values):
+        if np.isnan(v):
+            continue
+        if inclusive:
+            insort(seen, v)
+        if len(seen) >= max(1, least):
+            out[i] = bisect_right(seen, v) / len(seen)
+        if not inclusive:
+            insort(seen, v)
+    return out
+
+
+def with_ranks(rows: DataFrame, columns: dict[str, str], least: int, inclusive: bool = False) -> DataFrame:
+    """Rows of assets with the running rank of each column, under the name that ``columns`` gives it."""
+
+    def step(group: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {to: running_ranks(group[c].to_numpy(float), least, inclusive) for c, to in columns.items()}
+
+    ranked = scan(rows, ["asset_id"], ["date"], step, ", ".join(f"{to} double" for to in columns.values()))
+    return ranked.withColumns({to: F.nanvl(to, F.lit(None).cast("double")) for to in columns.values()})

@@ -87,13 +87,6 @@ def zscore_expanding(c: Column | str, least: int) -> Column:
     return full(z, col(c), expanding(), least)
 
 
-def percentile_prior(c: Column | str, least: int) -> Column:
-    """Share of all rows before that are not above this one."""
-    before = F.collect_list(col(c)).over(all_prior())
-    share = F.size(F.filter(before, lambda v: v <= col(c))) / F.nullif(F.size(before), F.lit(0))
-    return F.when(F.size(before) >= least, share)
-
-
 def bollinger(c: Column | str, n: int = 20, width: float = 2.0) -> dict[str, Column]:
     middle, spread = sma(c, n), deviation(c, n, sample=False)
     return {"middle": middle, "upper": middle + width * spread, "lower": middle - width * spread}

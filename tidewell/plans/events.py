@@ -87,7 +87,7 @@ _RANK = f"""n AS (SELECT date, close, volume, row_number() OVER (ORDER BY date)
 @query("buy_zone_score", f"WITH {MARKET}, {_RANK}, s AS (SELECT date, CASE WHEN i > 100 THEN 1 - (pc + pv) / 2 END AS score FROM k) SELECT date, {r('score')} AS score, score >= 0.75 AS heavy, score >= 0.9 AS conviction FROM s WHERE score IS NOT NULL")
 def buy_zone_score(spark, sf_dir):
     """Mean of how low price and volume rank among the days before."""
-    rows = market_bars(spark, sf_dir).withColumns({"pc": w.percentile_prior("close", 100), "pv": w.percentile_prior("volume", 100)})
+    rows = scans.with_ranks(market_bars(spark, sf_dir).select("asset_id", "date", "close", "volume"), {"close": "pc", "volume": "pv"}, 100)
     score = 1 - (F.col("pc") + F.col("pv")) / 2
     return rows.withColumn("s", score).where("s IS NOT NULL").select("date", rounded("s").alias("score"), (F.col("s") >= 0.75).alias("heavy"), (F.col("s") >= 0.9).alias("conviction"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import fnv1a, rounded
+from tidewell.operators import scans
 from tidewell.operators import windows as w
 from tidewell.plans.common import BARS, MARKET, S, last_rows, over, query, r
 from tidewell.plans.forecasting import _cdf_sql
@@ -30,10 +31,8 @@ def momentum_drift(spark, sf_dir):
   SELECT a.asset_id, a.date, CASE WHEN a.i >= 30 THEN {r('sum((b.close <= a.close)::INT) / a.i')} END AS rank FROM n a JOIN n b ON b.i <= a.i GROUP BY a.asset_id, a.date, a.i""")
 def pctrank_expanding(spark, sf_dir):
     """Share of the rows up to this one, itself included, that are not above it."""
-    rows = market_bars(spark, sf_dir)
-    seen = F.collect_list("close").over(w.expanding())
-    share = F.size(F.filter(seen, lambda v: v <= F.col("close"))) / F.size(seen)
-    return rows.select("asset_id", "date", rounded(F.when(F.size(seen) >= 30, share)).alias("rank"))
+    rows = scans.with_ranks(market_bars(spark, sf_dir).select("asset_id", "date", "close"), {"close": "_rank"}, 30, inclusive=True)
+    return rows.select("asset_id", "date", rounded("_rank").alias("rank"))
 
 
 @query("momentum_features", f"""WITH {BARS}, {_RETS}

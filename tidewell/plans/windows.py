@@ -128,7 +128,7 @@ def zscore_expanding(spark, sf_dir):
   SELECT a.asset_id, a.date, CASE WHEN a.i > 52 THEN {r('sum((b.close <= a.close)::INT) / nullif(a.i - 1, 0)')} END AS rank
   FROM n a LEFT JOIN n b ON b.i < a.i GROUP BY a.asset_id, a.date, a.i""")
 def pctrank_prior(spark, sf_dir):
-    return _out(market_bars(spark, sf_dir), rank=w.percentile_prior("close", 52))
+    return _out(scans.with_ranks(market_bars(spark, sf_dir).select("asset_id", "date", "close"), {"close": "_rank"}, 52), rank=F.col("_rank"))
 
 
 @query("rolling_sum_guarded", f"WITH {BARS}, v AS (SELECT *, CASE WHEN close > 200000 THEN volume END AS big FROM bars) SELECT {KEY}, CASE WHEN count(big) {last_rows(10)} >= 8 THEN {r(f'sum(big) {last_rows(10)}', '1e1')} END AS total FROM v")
