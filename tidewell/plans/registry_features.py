@@ -194,8 +194,11 @@ def source_rows(days: DataFrame) -> dict[str, DataFrame]:
     return found | {f"price{k}": found["price"] for k in (7, 30, 90)}
 
 
-def _values(spark, sf_dir, sources: list[Source] = SOURCES) -> DataFrame:
+def _values(spark, sf_dir, sources: list[Source] = SOURCES, only: str | None = None) -> DataFrame:
+    """Values of every feature, for all assets or ``only`` one."""
     days = days_of(spark, sf_dir)
+    if only is not None:
+        days = days.where(F.col("asset_id") == only)
     spine = days.select("asset_id", "date")
     spine = spine.join(spine.withColumn("date", F.date_add("date", 1)), ["asset_id", "date"], "left_semi")
     return feature_values(spine, sources, source_rows(days), FEATURES)
