@@ -3,8 +3,8 @@
 Each direction is a gated recurrent unit with one input table row for every
 byte value; both states of a position feed a softmax, so every position gets a
 label, and a document's probabilities are the mean over its positions.  Trained
-in numpy by backpropagation through time on windows cut from at most TRAIN_DOCS
-labelled documents outside the held-out fold.
+in numpy by backpropagation through time on windows cut from at most LANG_DOCS
+labelled documents of each language outside the held-out fold.
 
 A whole text is scored: its bytes are cut into windows of WINDOW bytes, which
 run through the network side by side, so a long text costs what its bytes cost
@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.sampling import held_out, lowest_hashes, rows_of
+from tidewell.llm.sampling import held_out, lowest_hashes_each, rows_of
 from tidewell.llm.words import binary_column
 from tidewell.llm.workspace import release_memory
 
-#: Labelled documents that the network is fitted on, at most, and windows cut from each.
-TRAIN_DOCS = 2_000
+#: Labelled documents of each language that the network is fitted on, at most, and windows cut from each.
+LANG_DOCS = 500
 TRAIN_CUTS = 3
 WINDOW = 64
 HIDDEN = 8
@@ -172,10 +172,10 @@ def fit(langs: list[str], windows: np.ndarray, labels: np.ndarray, steps: int =
     return net
 
 
-def train_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Windows of WINDOW bytes from at most ``train_docs`` labelled documents: TRAIN_CUTS of each, at places drawn by its id."""
+def train_windows(docs: DataFrame, lang_docs: int = LANG_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Windows of WINDOW bytes from at most ``lang_docs`` labelled documents of each language: TRAIN_CUTS of each, at places drawn by its id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = lowest_hashes(known.select("doc_id", "lang"), train_docs)
+    chosen = lowest_hashes_each(known.select("doc_id", "lang"), lang_docs, "lang")
     n = F.length("text")
     starts = [F.pmod(F.xxhash64(F.lit(j), "doc_id"), F.greatest(n - WINDOW, F.lit(1))).cast("int") + 1 for j in range(TRAIN_CUTS)]
     pieces = docs.where("text IS NOT NULL").select("doc_id", F.array(*(F.substring("text", s, F.lit(WINDOW)) for s in starts)).alias("cuts"))
@@ -189,8 +189,8 @@ def train_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[s
     return langs, windows, np.array([langs.index(lang) for _, lang, _ in found], int)
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Network | None:
-    langs, windows, labels = train_windows(docs, train_docs)
+def train(docs: DataFrame, lang_docs: int = LANG_DOCS) -> Network | None:
+    langs, windows, labels = train_windows(docs, lang_docs)
     return fit(langs, windows, labels) if langs else None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,18 @@ def lowest_hashes(rows: DataFrame, limit: int, key: str = "doc_id") -> DataFrame
     return one.orderBy(spread, key).limit(limit)
 
 
+def lowest_hashes_each(rows: DataFrame, limit: int, group: str, key: str = "doc_id") -> DataFrame:
+    """As lowest_hashes, with ``limit`` ids for each value of ``group``: a rare value is sampled alike in a small and a large table."""
+    one = rows.groupBy(key).agg(*(F.min(c).alias(c) for c in rows.columns if c != key))
+    sizes = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    spread = F.xxhash64(F.lit("sample"), key)
+    share = (spread.cast("double") + 2.0**63) / 2.0**64
+    enough = limit + 6 * int(limit**0.5) + 20
+    near = one.join(sizes, group).where((F.col("_n") <= enough) | (share < enough / F.col("_n")))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(spread, key))  # some more than ``limit`` rows of each value
+    return near.withColumn("_place", place).where(F.col("_place") <= limit).select(*one.columns)
+
+
 def rows_of(rows: DataFrame, chosen: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of ``rows`` for each chosen id (a few thousand, broadcast), with the columns of both; of repeated ids the least row."""
     own = [c for c in rows.columns if c != key]
