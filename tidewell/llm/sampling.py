@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sizes of this many groups are broadcast.
+BROADCAST_GROUPS = 10_000
+
 
 def fold(key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out of every training."""
@@ -35,6 +38,8 @@ def lowest_hashes_each(rows: DataFrame, limit: int, group: str, key: str = "doc_
     """As lowest_hashes, with ``limit`` ids for each value of ``group``: a rare value is sampled alike in a small and a large table."""
     one = rows.groupBy(key).agg(*(F.min(c).alias(c) for c in rows.columns if c != key))
     sizes = one.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        sizes = F.broadcast(sizes)  # else a frequent value would meet its size in one task
     spread = F.xxhash64(F.lit("sample"), key)
     share = (spread.cast("double") + 2.0**63) / 2.0**64
     enough = limit + 6 * int(limit**0.5) + 20
