@@ -440,6 +440,26 @@ def test_dropped_lines_match_brute_force(spark, seed):
     assert sum(map(len, gone.values())) > 40
 
 
+def test_many_templates_of_a_leaf_take_few_rounds(spark, monkeypatch):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    lines = [" ".join(["posted", "in", "news", *(word() for _ in range(9))]) for _ in range(200)]
+    texts = [f"own{i} text\n{line}" for i, line in enumerate(lines * 5)]
+    rounds = []
+    settled = linededup.settled
+    monkeypatch.setattr(linededup, "settled", lambda df, label, **o: rounds.append(label) or settled(df, label, **o))
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert got == {i: int(i >= 200) for i in range(1000)}
+    assert rounds.count("round") <= 3
+
+
+def test_tabs_part_the_tokens_of_a_line(spark):
+    texts = [f"own{i} words\nHome\tNews\tContact\tAbout" for i in range(20)]
+    got = {r.doc_id: r for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert [got[i].n_dropped for i in range(20)] == [0] + [1] * 19
+    assert got[0].text == texts[0] and got[1].text == "own1 words"
+
+
 def test_copies_of_a_text_are_not_boilerplate(spark):
     texts = ["a whole text that is copied many times over"] * 9
     assert {r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()} == {0}

@@ -14,7 +14,7 @@ agree with it so, are dropped from every document but the first (the least
 doc_id), so no passage leaves the corpus altogether.
 
 Agreement is by position, so lines differ in words, not in their number.  A
-template must recur in one leaf to be found.
+template must recur in one leaf to be found.  Blanks and tabs part tokens.
 
 Copies of a whole text count once, so a copied document is not boilerplate by
 itself.  Leaves are counted first, so that only lines of leaves that recur are
@@ -61,9 +61,9 @@ def masked(tokens: Column) -> Column:
 
 
 def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest (of the text), line_no, tokens (split at blanks), leaf: the lines with LEAST_TOKENS tokens or more."""
+    """doc_id, digest (of the text), line_no, tokens (split at blanks and tabs), leaf: the lines with LEAST_TOKENS tokens or more."""
     # the digest comes before the lines are dealt out, so a text is hashed once, and a line is split once, after the filter
-    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(F.col(text), "\n", -1).alias("lines"))
+    texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(F.replace(F.col(text), F.lit("\t"), F.lit(" ")), "\n", -1).alias("lines"))
     lines = texts.select("doc_id", "digest", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(ENOUGH_TOKENS))
     tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens"))
     leading = (F.get("tokens", F.lit(i)) for i in range(DEPTH))
@@ -104,37 +104,65 @@ def constant_sets(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, simi
     placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
     support = placed.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("texts").alias("support"))
     constants = support.where(F.col("support") >= enough_texts(F.col("n_tokens"), least_documents))
-    fixed = placed.join(constants.drop("support", "n_tokens"), ["leaf", "pos", "token"]).where(F.col("token") != WILDCARD)
-    marks = (
-        fixed.groupBy("leaf", "shape", "n_tokens")
-        .agg(F.array_sort(F.collect_list(F.xxhash64("pos", "token"))).alias("marks"))
-        .where(F.size("marks") >= similar * F.col("n_tokens"))
-    )
-    constant = F.transform("tokens", lambda t, p: F.when(F.array_contains(F.col("marks"), F.xxhash64(p, t)), t))
-    return marks.join(distinct, ["leaf", "shape"]).select(
-        "leaf", "shape", "texts", "n_tokens", constant.alias("tokens"), "marks", F.xxhash64("leaf", "marks").alias("set")
+    known_here = placed.join(constants, ["leaf", "n_tokens", "pos", "token"], "left")
+    # a token stays where it is constant, so the collected positions are the set in order
+    token = F.when(F.col("support").isNotNull() & (F.col("token") != WILDCARD), F.col("token")).alias("token")
+    whole = known_here.groupBy("leaf", "shape", "texts", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", token))).alias("at"))
+    fixed = F.filter("at", lambda x: x["token"].isNotNull())
+    marks = whole.withColumn("marks", F.transform(fixed, lambda x: F.xxhash64(x["pos"], x["token"])))
+    return marks.where(F.size("marks") >= similar * F.col("n_tokens")).select(
+        "leaf", "shape", "texts", "n_tokens", F.col("at.token").alias("tokens"), "marks", F.xxhash64("leaf", "marks").alias("set")
     )
 
 
-def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
-    """set, template: in each leaf the best supported set left is a template, and takes the sets that agree with it; again, until none is left.
+def keys_of_sets(n_tokens: Column, tokens: Column, leaf: Column, similar: float = SIMILAR) -> Column:
+    """Hashes of the runs of a set without its leading tokens: sets of a leaf that agree share one of them.
 
-    A round compares a set with one template, so its rows do not grow with the
-    square of a leaf.  A leaf ends where too few texts are left to recur.
+    The leading tokens of a leaf are the same in all its sets, so they tell none
+    apart; variable ones differ in all of them and use up what may differ.
+    """
+    leading = F.slice(tokens, 1, DEPTH)
+    may_differ = n_tokens - F.ceil(similar * n_tokens) - F.size(F.filter(leading, F.isnull))
+    n_runs = F.greatest(may_differ + 1, F.lit(1))
+    at = lambda i: F.floor(i * (n_tokens - DEPTH) / n_runs).cast("int")
+    run = lambda i: F.slice(tokens, at(i) + DEPTH + 1, at(i + 1) - at(i))
+    hashed = lambda i: F.when(~F.exists(run(i), F.isnull), F.xxhash64(leaf, i, run(i)))
+    return F.array_compact(F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), hashed))
+
+
+def templates_of_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """set, template: in each leaf the best supported set is a template, then the best of those that agree with no template so far, and so on; a set belongs to the best supported template that it agrees with.
+
+    A round finds at once every set that no better supported one left shares a
+    run with, and takes away the sets that agree with these: the same templates
+    as one after another, but as many rounds as the longest chain of sets that
+    each share a run with a better one, whatever the number of templates.
     """
-    left = settled(sets.groupBy("leaf", "set", "n_tokens", "marks").agg(F.sum("texts").alias("texts")), "sets")
-    found = None
-    while True:
-        best = F.max(F.struct("texts", F.size("marks").alias("n_fixed"), "set", "marks")).alias("best")
-        leaders = left.groupBy("leaf", "n_tokens").agg(best, F.sum("texts").alias("all")).where(F.col("all") >= enough_texts(F.col("n_tokens"), least_documents))
-        leaders = settled(leaders.select("leaf", F.col("best.set").alias("template"), F.col("best.marks").alias("its")), "leaders")
-        agrees = F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens")
-        met = settled(left.join(small(leaders, BROADCAST_TEMPLATES), "leaf").withColumn("agrees", agrees), "round")
-        taken = met.where("agrees").select("set", "template")
-        found = taken if found is None else found.unionByName(taken)
-        left = met.where(~F.col("agrees")).select(*left.columns)
-        if left.isEmpty():
-            return found
+    rank = F.struct("texts", F.size("marks").alias("n_fixed"), "set").alias("rank")
+    keys = keys_of_sets(F.col("n_tokens"), F.col("tokens"), F.col("leaf"), similar).alias("keys")
+    # marks and tokens go with the set; as keys they are hashed, as values they would be sorted
+    once = sets.groupBy("leaf", "set", "n_tokens", "marks", "tokens").agg(F.sum("texts").alias("texts"))
+    keyed = lambda df, *columns: df.select(F.explode("keys").alias("key"), *columns)
+
+    def agreeing(some: DataFrame, leaders: DataFrame) -> DataFrame:
+        # pairs travel as two names; the marks of both meet once for each pair
+        pairs = keyed(some, "set").join(keyed(leaders, F.col("set").alias("template")), "key").select("set", "template").distinct()
+        its = leaders.select(F.col("set").alias("template"), F.col("rank").alias("its_rank"), F.col("marks").alias("its"))
+        met = some.select("set", "n_tokens", "marks").join(pairs, "set").join(its, "template")
+        return met.where(F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens"))
+
+    state = every = settled(once.select("set", "n_tokens", "marks", rank, keys, F.lit(False).alias("leads")), "sets")
+    while not (left := state.where("NOT leads")).isEmpty():
+        top = keyed(left, "rank").groupBy("key").agg(F.max("rank").alias("top"))
+        beaten = keyed(left, "set", "rank").join(top, "key").where("rank <> top").select("set").distinct()
+        fresh = settled(left.join(beaten, "set", "left_anti"), "leaders").withColumn("leads", F.lit(True))
+        rest = left.join(fresh.select("set"), "set", "left_anti")
+        rest = rest.join(agreeing(rest, fresh).select("set").distinct(), "set", "left_anti")
+        state = settled(state.where("leads").unionByName(fresh).unionByName(rest), "round")
+    leaders = state.select("set", F.col("set").alias("template"))
+    followers = every.join(leaders.select("set"), "set", "left_anti")
+    best = agreeing(followers, state).groupBy("set").agg(F.max("its_rank").alias("best"))
+    return leaders.unionByName(best.select("set", F.col("best.set").alias("template")))
 
 
 def bounds_of(n_tokens: Column, similar: float = SIMILAR) -> Column:
@@ -208,11 +236,11 @@ def recurring_lines(
 ) -> DataFrame:
     """doc_id, digest, line_no, first_doc: the lines of templates that recur in at least ``least_documents`` texts, long ones in LEAST_LONG."""
     sets = settled(constant_sets(known, least_documents, similar), "constants")
-    templates = templates_of_sets(sets, least_documents, similar)
+    templates = templates_of_sets(sets, similar)
     shapes = settled(sets.select("leaf", "shape", "set").join(templates, "set").select("shape", "template"), "templates")
     own = known.select("doc_id", "digest", "line_no", "shape").join(shapes, "shape").drop("shape")
     texts = own.groupBy("template").agg(F.countDistinct("digest").alias("texts"))
-    heads = sets.groupBy(F.col("set").alias("template")).agg(F.any_value("tokens").alias("tokens"), F.any_value("marks").alias("marks"))
+    heads = sets.select(F.col("set").alias("template"), "tokens", "marks").distinct()
     recurs = F.col("texts") >= enough_texts(F.size("tokens"), least_documents)
     recurring = settled(texts.join(heads, "template").where(recurs), "recurring")
     own = own.join(small(recurring.select("template", "texts"), BROADCAST_LEAVES), "template").withColumn("own", F.lit(True))
