@@ -130,28 +130,37 @@ def keys_of_sets(n_tokens: Column, tokens: Column, leaf: Column, similar: float
     return F.array_compact(F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), hashed))
 
 
-def templates_of_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """set, template: in each leaf the best supported set is a template, then the best of those that agree with no template so far, and so on; a set belongs to the best supported template that it agrees with.
 
-    A round finds at once every set that no better supported one left shares a
-    run with, and takes away the sets that agree with these: the same templates
-    as one after another, but as many rounds as the longest chain of sets that
-    each share a run with a better one, whatever the number of templates.
+    The best set of each leaf comes first and takes most of the others.  Among
+    those left, a round finds at once every set that no better supported one
+    shares a run with, and takes away the sets that agree with these: the same
+    templates as one after another, but as many rounds as the longest chain of
+    sets that each share a run with a better one, whatever the number of
+    templates.  A leaf with too few texts to recur has none.
     """
     rank = F.struct("texts", F.size("marks").alias("n_fixed"), "set").alias("rank")
-    keys = keys_of_sets(F.col("n_tokens"), F.col("tokens"), F.col("leaf"), similar).alias("keys")
     # marks and tokens go with the set; as keys they are hashed, as values they would be sorted
     once = sets.groupBy("leaf", "set", "n_tokens", "marks", "tokens").agg(F.sum("texts").alias("texts"))
+    every = settled(once.select("leaf", "set", "n_tokens", "marks", "tokens", rank), "sets")
+    agrees = F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens")
+
+    best = every.groupBy("leaf", "n_tokens").agg(F.max(F.struct("rank", "marks")).alias("best"), F.sum("rank.texts").alias("all"))
+    best = best.where(F.col("all") >= enough_texts(F.col("n_tokens"), least_documents))
+    best = settled(best.select("leaf", F.col("best.rank.set").alias("template"), F.col("best.marks").alias("its")), "leaders")
+    met = settled(every.join(small(best, BROADCAST_TEMPLATES), "leaf").withColumn("agrees", agrees), "round")
+    keys = keys_of_sets(F.col("n_tokens"), F.col("tokens"), F.col("leaf"), similar).alias("keys")
+    others = met.where("NOT agrees").select("set", "n_tokens", "marks", "rank", keys, F.lit(False).alias("leads"))
     keyed = lambda df, *columns: df.select(F.explode("keys").alias("key"), *columns)
 
     def agreeing(some: DataFrame, leaders: DataFrame) -> DataFrame:
         # pairs travel as two names; the marks of both meet once for each pair
         pairs = keyed(some, "set").join(keyed(leaders, F.col("set").alias("template")), "key").select("set", "template").distinct()
         its = leaders.select(F.col("set").alias("template"), F.col("rank").alias("its_rank"), F.col("marks").alias("its"))
-        met = some.select("set", "n_tokens", "marks").join(pairs, "set").join(its, "template")
-        return met.where(F.size(F.array_intersect("marks", "its")) >= similar * F.col("n_tokens"))
+        return some.select("set", "n_tokens", "marks").join(pairs, "set").join(its, "template").where(agrees)
 
-    state = every = settled(once.select("set", "n_tokens", "marks", rank, keys, F.lit(False).alias("leads")), "sets")
+    state = others = settled(others, "others")
     while not (left := state.where("NOT leads")).isEmpty():
         top = keyed(left, "rank").groupBy("key").agg(F.max("rank").alias("top"))
         beaten = keyed(left, "set", "rank").join(top, "key").where("rank <> top").select("set").distinct()
@@ -159,10 +168,9 @@ def templates_of_sets(sets: DataFrame, similar: float = SIMILAR) -> DataFrame:
         rest = left.join(fresh.select("set"), "set", "left_anti")
         rest = rest.join(agreeing(rest, fresh).select("set").distinct(), "set", "left_anti")
         state = settled(state.where("leads").unionByName(fresh).unionByName(rest), "round")
-    leaders = state.select("set", F.col("set").alias("template"))
-    followers = every.join(leaders.select("set"), "set", "left_anti")
-    best = agreeing(followers, state).groupBy("set").agg(F.max("its_rank").alias("best"))
-    return leaders.unionByName(best.select("set", F.col("best.set").alias("template")))
+    # a leader agrees with no better one, so it is its own template
+    later = agreeing(others, state).groupBy("set").agg(F.max("its_rank").alias("best"))
+    return met.where("agrees").select("set", "template").unionByName(later.select("set", F.col("best.set").alias("template")))
 
 
 def bounds_of(n_tokens: Column, similar: float = SIMILAR) -> Column:
@@ -236,7 +244,7 @@ def recurring_lines(
 ) -> DataFrame:
     """doc_id, digest, line_no, first_doc: the lines of templates that recur in at least ``least_documents`` texts, long ones in LEAST_LONG."""
     sets = settled(constant_sets(known, least_documents, similar), "constants")
-    templates = templates_of_sets(sets, similar)
+    templates = templates_of_sets(sets, least_documents, similar)
     shapes = settled(sets.select("leaf", "shape", "set").join(templates, "set").select("shape", "template"), "templates")
     own = known.select("doc_id", "digest", "line_no", "shape").join(shapes, "shape").drop("shape")
     texts = own.groupBy("template").agg(F.countDistinct("digest").alias("texts"))
