@@ -480,6 +480,21 @@ def test_words_edited_at_different_positions_share_a_template(spark, monkeypatch
         assert {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()} == got
 
 
+def test_runs_of_templates_are_broadcast_in_buckets(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passages = [[word() for _ in range(60)] for _ in range(100)]
+    lines = [" ".join([*p[:40], word(), *p[41:]]) for p in passages for _ in range(2)]
+    lines += [" ".join([word(), *p[1:]]) for p in passages]  # another leaf
+    texts = [f"own{i} start\n{line}" for i, line in enumerate(lines)]
+    sent = []
+    broadcast = F.broadcast
+    monkeypatch.setattr(linededup.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert got == {i: int(i >= 200 or i % 2) for i in range(300)}
+    assert max(sent) < 400  # of some 1,800 runs
+
+
 def test_long_passages_recur_from_two_texts(spark):
     line = lambda n, k: " ".join(f"{k}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n))
     long, short = line(51, "l"), line(50, "s")

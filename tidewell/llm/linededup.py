@@ -50,8 +50,9 @@ ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
-#: Runs of templates up to this many are broadcast (32 bytes each).
+#: Runs of templates up to this many are broadcast, as one list for each bucket of some RUNS_OF_BUCKET.
 BROADCAST_RUNS = 2_000_000
+RUNS_OF_BUCKET = 8
 WILDCARD = "<*>"
 
 
@@ -181,11 +182,15 @@ def bounds_of(n_tokens: Column, similar: float = SIMILAR) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), bounds)
 
 
+def run_of(tokens: Column, at: Column) -> Column:
+    """Hash of the run of tokens with those bounds."""
+    return F.xxhash64(F.size(tokens), at["no"], F.slice(tokens, at["start"], at["size"]))
+
+
 def runs_of(tokens: Column, bounds: Column, variable: bool = False) -> Column:
     """Hashes of the runs of tokens.  With ``variable`` tokens, null for runs with a null."""
-    run = lambda at: F.slice(tokens, at["start"], at["size"])
-    hashed = lambda at: F.xxhash64(F.size(tokens), at["no"], run(at))
-    return F.transform(bounds, (lambda at: F.when(~F.exists(run(at), F.isnull), hashed(at))) if variable else hashed)
+    whole = lambda at: ~F.exists(F.slice(tokens, at["start"], at["size"]), F.isnull)
+    return F.transform(bounds, (lambda at: F.when(whole(at), run_of(tokens, at))) if variable else (lambda at: run_of(tokens, at)))
 
 
 def runs_of_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -201,6 +206,9 @@ def runs_of_templates(templates: DataFrame, similar: float = SIMILAR) -> DataFra
 def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, digest, line_no, template, texts: lines of any leaf that agree with a template (template, texts, tokens, marks); fields may lead a line.  The best supported one of a line is among its rows.
 
+    Which runs of lines are runs of templates at all is told by a broadcast of
+    nothing but their hashes; the few lines that have any then meet the templates.
+
     A line meets the top template of each of its runs first, and the others of
     those runs only if they are better supported than one that it agrees with,
     so a passage with a thousand edits and dozens of templates makes no row for
@@ -211,29 +219,35 @@ def lines_that_agree(lines: DataFrame, templates: DataFrame, similar: float = SI
     # only lines with as many tokens as some template; numbers of tokens are few, and each has its bounds once
     sizes = templates.select(F.size("tokens").alias("n_tokens")).distinct()
     sizes = small(settled(sizes.withColumn("bounds", bounds_of(F.col("n_tokens"), similar)), "sizes"), BROADCAST_LEAVES)
-    its = small(templates.select("template", F.col("marks").alias("its")), BROADCAST_TEMPLATES)
+    its = templates.select("template", F.col("marks").alias("its"))
     agrees = (F.size(F.array_intersect(marks_of(F.col("tokens")), F.col("its"))) >= similar * F.size("tokens")).alias("agrees")
-    line = ("doc_id", "digest", "line_no", "tokens", "runs")
+    line = ("doc_id", "digest", "line_no", "tokens", "bounds")
 
     def met(lines: DataFrame, runs: DataFrame, label: str) -> DataFrame:
-        # runs are a column before they are exploded, so that no row of a run carries its line unless it meets a template;
-        # explode_outer, as a filter on the size of the runs would hash them again
-        at = lines.withColumn("key", F.explode_outer("runs"))
-        few = small(runs, BROADCAST_RUNS)
-        if few is runs:  # too many to broadcast: only short rows are shuffled by run, and then the lines that meet any
+        # a run is hashed after its bounds are exploded: in a transform of the bounds it would be interpreted
+        at = lines.withColumn("at", F.explode("bounds")).withColumn("key", run_of(F.col("tokens"), F.col("at"))).drop("at")
+        n_runs = runs.limit(BROADCAST_RUNS + 1).count()
+        if n_runs <= BROADCAST_RUNS:
+            # a bucket has its runs, and a bit for each by which most others are told at once
+            bucket = lambda run: F.pmod(run, F.lit(n_runs // RUNS_OF_BUCKET + 1).cast("long"))
+            bit = lambda run: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(run, 58).cast("int"))
+            buckets = runs.groupBy(bucket(F.col("run")).alias("bucket")).agg(F.bit_or(bit(F.col("run"))).alias("bits"), F.collect_set("run").alias("its_runs"))
+            known = (F.col("bits").bitwiseAND(bit(F.col("key"))) != 0) & F.array_contains("its_runs", F.col("key"))
+            at = at.join(F.broadcast(buckets), (bucket(F.col("key")) == F.col("bucket")) & known).drop("bucket", "bits", "its_runs")
+        else:  # too many to broadcast: only short rows are shuffled by run, and then the lines that meet any
             hit = at.select("doc_id", "digest", "line_no", "key").join(runs, F.col("key") == F.col("run"), "left_semi")
-            hit = hit.select(*(F.col(c).alias(f"hit_{c}") for c in ("doc_id", "digest", "line_no"))).distinct()
+            hit = hit.select(*(F.col(c).alias(f"hit_{c}") for c in ("doc_id", "digest", "line_no")), F.col("key")).distinct()
             same = [F.col(c).eqNullSafe(F.col(f"hit_{c}")) for c in ("doc_id", "digest", "line_no")]
-            at = lines.join(settled(hit, "hit"), same, "left_semi").withColumn("key", F.explode_outer("runs"))
+            at = lines.join(settled(hit, "hit"), same)
+        at = settled(at.select(*lines.columns, "key"), "hit").withColumn("runs", runs_of(F.col("tokens"), F.col("bounds")))
         begins = (F.col("key") == F.col("run")) & (F.col("before").isNull() | ~F.array_contains("runs", F.col("before")))
         if "least" in lines.columns:
             begins &= F.col("least").isNull() | (F.struct("texts", "template") > F.col("least"))
-        return settled(at.join(few, begins).join(its, "template").select(*line, "template", "texts", agrees), label)
+        return settled(at.join(runs, begins).join(its, "template").select(*line, "template", "texts", agrees), label)
 
-    # never null, so that no filter on nulls splits a line or hashes its runs a second time
+    # never null, so that no filter on nulls splits a line a second time
     sized = lines.withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0))).join(sizes, "n_tokens")
-    hashed = F.coalesce(runs_of(F.col("tokens"), F.col("bounds")), F.array().cast("array<bigint>"))
-    tops = met(sized.select(*line[:-1], hashed.alias("runs")), runs.where("top").drop("top"), "tops")
+    tops = met(sized.select(*line), runs.where("top").drop("top"), "tops")
     least = F.max(F.when(F.col("agrees"), F.struct("texts", "template"))).alias("least")
     others = met(tops.groupBy(*line).agg(least), runs.where("NOT top").drop("top"), "others")
     return tops.unionByName(others).where("agrees").select("doc_id", "digest", "line_no", "template", "texts")
