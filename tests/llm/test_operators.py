@@ -453,6 +453,24 @@ def test_many_templates_of_a_leaf_take_few_rounds(spark, monkeypatch):
     assert rounds.count("round") <= 3
 
 
+def test_few_sets_of_a_leaf_take_no_rounds(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    # a chain: each line agrees with the next one on 8 of 12 tokens, and the first one has most texts
+    words = [word() for _ in range(60)]
+    lines = [["posted", "in", "news", *words[i : i + 9]] for i in range(0, 20, 2)]
+    lines = [" ".join([*x[:3], *(x[3 + (k - i) % 9] for k in range(9))]) for i, x in enumerate(lines)]
+    texts = [f"own{i}x{k} text\n{line}" for i, line in enumerate(lines) for k in range(16 - i)]
+    settled, labels = linededup.settled, []
+    monkeypatch.setattr(linededup, "settled", lambda df, label, **o: labels.append(label) or settled(df, label, **o))
+    dropped = lambda: {r.doc_id: r.n_dropped for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    got = dropped()
+    assert labels.count("leaders") == labels.count("round") == 1
+    assert {i for i, n in got.items() if n} == {i for i, n in brute_dropped(texts).items() if n}
+    monkeypatch.setattr(linededup, "FOLDED_SETS", 0)
+    assert dropped() == got and labels.count("leaders") > 2
+
+
 def test_tabs_part_the_tokens_of_a_line(spark):
     texts = [f"own{i} words\nHome\tNews\tContact\tAbout" for i in range(20)]
     got = {r.doc_id: r for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}

@@ -50,6 +50,8 @@ ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
+#: Leaves with up to this many sets left are gone through one set after another within a row; larger ones take rounds.
+FOLDED_SETS = 100
 #: Runs of templates up to this many are broadcast, as one list for each bucket of some RUNS_OF_BUCKET.
 BROADCAST_RUNS = 2_000_000
 RUNS_OF_BUCKET = 8
@@ -131,15 +133,29 @@ def keys_of_sets(n_tokens: Column, tokens: Column, leaf: Column, similar: float
     return F.array_compact(F.transform(F.sequence(F.lit(0).cast("long"), n_runs - 1), hashed))
 
 
+def folded(others: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """set, template: the sets of each leaf in the order of their rank; one that agrees with no template so far is one, any other belongs to the first that it agrees with."""
+    in_order = F.sort_array(F.collect_list(F.struct("rank", "marks")), asc=False).alias("sets")
+    leaves = others.groupBy("leaf", "n_tokens").agg(in_order)
+    agree = lambda one, other: F.size(F.array_intersect(one["marks"], other["marks"])) >= similar * F.col("n_tokens")
+    none = F.slice("sets", 1, 0)
+    more = lambda so_far, one: F.when(F.exists(so_far, lambda t: agree(one, t)), so_far).otherwise(F.concat(so_far, F.array(one)))
+    leaves = leaves.withColumn("templates", F.aggregate("sets", none, more))
+    one = leaves.select("n_tokens", "templates", F.explode("sets").alias("one"))
+    first = F.get(F.filter("templates", lambda t: agree(F.col("one"), t)), F.lit(0))
+    return one.select(F.col("one.rank.set").alias("set"), first["rank"]["set"].alias("template"))
+
+
 def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, similar: float = SIMILAR) -> DataFrame:
     """set, template: in each leaf the best supported set is a template, then the best of those that agree with no template so far, and so on; a set belongs to the best supported template that it agrees with.
 
-    The best set of each leaf comes first and takes most of the others.  Among
-    those left, a round finds at once every set that no better supported one
-    shares a run with, and takes away the sets that agree with these: the same
-    templates as one after another, but as many rounds as the longest chain of
-    sets that each share a run with a better one, whatever the number of
-    templates.  A leaf with too few texts to recur has none.
+    The best set of each leaf comes first and takes most of the others.  Leaves
+    with few sets left go through them in order (``folded``).  Elsewhere a round
+    finds at once every set that no better supported one shares a run with, and
+    takes away the sets that agree with these: the same templates as one after
+    another, but as many rounds as the longest chain of sets that each share a
+    run with a better one, whatever the number of templates.  A leaf with too
+    few texts to recur has none.
     """
     rank = F.struct("texts", F.size("marks").alias("n_fixed"), "set").alias("rank")
     # marks and tokens go with the set; as keys they are hashed, as values they would be sorted
@@ -152,7 +168,14 @@ def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
     best = settled(best.select("leaf", F.col("best.rank.set").alias("template"), F.col("best.marks").alias("its")), "leaders")
     met = settled(every.join(small(best, BROADCAST_TEMPLATES), "leaf").withColumn("agrees", agrees), "round")
     keys = keys_of_sets(F.col("n_tokens"), F.col("tokens"), F.col("leaf"), similar).alias("keys")
-    others = met.where("NOT agrees").select("set", "n_tokens", "marks", "rank", keys, F.lit(False).alias("leads"))
+    others = settled(met.where("NOT agrees").select("leaf", "set", "n_tokens", "tokens", "marks", "rank"), "others")
+    found = met.where("agrees").select("set", "template")
+    crowded = others.groupBy("leaf").count().where(F.col("count") > FOLDED_SETS).select("leaf")
+    crowded = small(settled(crowded, "crowded"), BROADCAST_LEAVES)
+    found = found.unionByName(folded(others.join(crowded, "leaf", "left_anti"), similar))
+    if crowded.isEmpty():
+        return found
+    others = others.join(crowded, "leaf", "left_semi").select("set", "n_tokens", "marks", "rank", keys, F.lit(False).alias("leads"))
     keyed = lambda df, *columns: df.select(F.explode("keys").alias("key"), *columns)
 
     def agreeing(some: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -171,7 +194,7 @@ def templates_of_sets(sets: DataFrame, least_documents: int = LEAST_DOCUMENTS, s
         state = settled(state.where("leads").unionByName(fresh).unionByName(rest), "round")
     # a leader agrees with no better one, so it is its own template
     later = agreeing(others, state).groupBy("set").agg(F.max("its_rank").alias("best"))
-    return met.where("agrees").select("set", "template").unionByName(later.select("set", F.col("best.set").alias("template")))
+    return found.unionByName(later.select("set", F.col("best.set").alias("template")))
 
 
 def bounds_of(n_tokens: Column, similar: float = SIMILAR) -> Column:
