@@ -468,9 +468,21 @@ def test_few_sets_of_a_leaf_take_no_rounds(spark, monkeypatch):
     assert labels.count("leaders") == labels.count("round") == 1
     assert {i for i, n in got.items() if n} == {i for i, n in brute_dropped(texts).items() if n}
     monkeypatch.setattr(linededup, "FOLDED_SETS", 0)
+    monkeypatch.setattr(linededup, "GATHERED_SHAPES", 0)
     assert dropped() == got and labels.count("leaders") > 2
 
 
+def test_only_lines_with_known_leading_tokens_are_split(spark):
+    lines = ["a b c d", "  a   b c d", "a b c  d e", "a b1 c d", "a b22 c  d", "a b x d", "a b c", "a b c ", " a b c", "", "a\tb c d"]
+    docs = docs_of(spark, lines)
+    every = linededup.document_lines(docs).withColumn("lead", linededup.lead_of_tokens(F.col("tokens")))
+    leads = every.where("doc_id IN (0, 3)").select("lead").distinct()
+    got = {r.doc_id: r for r in linededup.document_lines(docs, mask=True, leads=leads).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 10}
+    assert got[3].tokens == got[4].tokens == ["a", "<*>", "c", "d"] and got[1].tokens == ["a", "b", "c", "d"]
+    assert {i: r.leaf for i, r in got.items()} == {r.doc_id: r.leaf for r in every.collect() if r.doc_id in got}
+
+
 def test_tabs_part_the_tokens_of_a_line(spark):
     texts = [f"own{i} words\nHome\tNews\tContact\tAbout" for i in range(20)]
     got = {r.doc_id: r for r in linededup.drop_recurring_lines(docs_of(spark, texts)).collect()}

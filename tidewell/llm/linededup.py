@@ -50,6 +50,8 @@ ENOUGH_TOKENS = "^ *+" + "[^ ]++ ++" * (LEAST_TOKENS - 1) + "[^ ]"
 BROADCAST_LEAVES = 1_000_000
 #: Templates up to this many are broadcast with the hashes of their tokens.
 BROADCAST_TEMPLATES = 50_000
+#: Leaves with up to this many distinct lines are looked at as one row; in larger ones each token meets the constants by itself.
+GATHERED_SHAPES = 32
 #: Leaves with up to this many sets left are gone through one set after another within a row; larger ones take rounds.
 FOLDED_SETS = 100
 #: Runs of templates up to this many are broadcast, as one list for each bucket of some RUNS_OF_BUCKET.
@@ -58,31 +60,61 @@ RUNS_OF_BUCKET = 8
 WILDCARD = "<*>"
 
 
-def masked(tokens: Column) -> Column:
-    """Tokens, those with a digit as WILDCARD."""
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t))
+def masked(line: Column) -> Column:
+    """The line, its tokens with a digit as WILDCARD."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILDCARD)).otherwise(line)
 
 
-def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest (of the text), line_no, tokens (split at blanks and tabs), leaf: the lines with LEAST_TOKENS tokens or more."""
+def blanks_hide_tokens(head: Column) -> Column:
+    """Blanks in a row, in front or at the end: fewer tokens than the blanks tell."""
+    return F.startswith(head, F.lit(" ")) | F.contains(head, F.lit("  ")) | F.endswith(head, F.lit(" "))
+
+
+def has_enough_tokens(line: Column) -> Column:
+    """LEAST_TOKENS tokens or more; mostly told by the first blanks."""
+    odd = blanks_hide_tokens(F.substring_index(line, " ", LEAST_TOKENS))
+    return F.when(odd, line.rlike(ENOUGH_TOKENS)).otherwise(F.substring_index(line, " ", LEAST_TOKENS - 1) != line)
+
+
+def lead_of(line: Column) -> Column:
+    """Hash of the masked leading tokens of a line, told without splitting the line; as ``lead_of_tokens``."""
+    head = F.substring_index(line, " ", DEPTH)
+    single = F.regexp_replace(F.regexp_replace(line, "^ +", ""), " ++", " ")
+    return lead_of_tokens(F.split(F.when(blanks_hide_tokens(head), F.substring_index(single, " ", DEPTH)).otherwise(head), " "))
+
+
+def lead_of_tokens(tokens: Column) -> Column:
+    """Hash of the masked leading tokens."""
+    leading = (F.get(tokens, F.lit(i)) for i in range(DEPTH))
+    return F.xxhash64(F.array(*(F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t) for t in leading)))
+
+
+def document_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: bool = False, leads: DataFrame | None = None) -> DataFrame:
+    """doc_id, digest (of the text), line_no, tokens (split at blanks and tabs), leaf: the lines with LEAST_TOKENS tokens or more.
+
+    With ``mask``, tokens with a digit are WILDCARD.  With ``leads`` (lead,
+    broadcast), only lines of such leading tokens; others are not split.
+    """
     # the digest comes before the lines are dealt out, so a text is hashed once, and a line is split once, after the filter
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("digest"), F.split(F.replace(F.col(text), F.lit("\t"), F.lit(" ")), "\n", -1).alias("lines"))
-    lines = texts.select("doc_id", "digest", F.posexplode_outer("lines").alias("line_no", "line")).where(F.col("line").rlike(ENOUGH_TOKENS))
-    tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split("line", " "), "").alias("tokens"))
+    lines = texts.select("doc_id", "digest", F.posexplode_outer("lines").alias("line_no", "line")).where(has_enough_tokens(F.col("line")))
+    if leads is not None:
+        lines = lines.withColumn("lead", lead_of(F.col("line"))).join(F.broadcast(leads), "lead", "left_semi")
+    line = masked(F.col("line")) if mask else F.col("line")
+    tokens = lines.select("doc_id", "digest", "line_no", F.array_remove(F.split(line, " "), "").alias("tokens"))
     leading = (F.get("tokens", F.lit(i)) for i in range(DEPTH))
     return tokens.withColumn("leaf", F.xxhash64(F.size("tokens"), F.array(*(F.when(t.rlike("[0-9]"), WILDCARD).otherwise(t) for t in leading))))
 
 
 def lines_of_leaves(lines: DataFrame, leaves: DataFrame, broadcast_leaves: int = BROADCAST_LEAVES) -> DataFrame:
-    """The lines of those leaves, masked, with their shape (a hash of the masked line).
+    """The lines (masked) of those leaves, with their shape (a hash of the masked line).
 
     Up to ``broadcast_leaves`` leaves are broadcast, so the texts stay where they
     are; more are met by a shuffle of the lines.
     """
     if leaves.limit(broadcast_leaves + 1).count() <= broadcast_leaves:
         leaves = F.broadcast(leaves)
-    known = lines.join(leaves, "leaf", "left_semi").withColumn("tokens", masked(F.col("tokens")))
-    return known.withColumn("shape", F.xxhash64("tokens"))
+    return lines.join(leaves, "leaf", "left_semi").withColumn("shape", F.xxhash64("tokens"))
 
 
 def enough_texts(n_tokens: Column, least_documents: int = LEAST_DOCUMENTS) -> Column:
@@ -104,17 +136,29 @@ def constant_sets(known: DataFrame, least_documents: int = LEAST_DOCUMENTS, simi
     """leaf, shape, texts, n_tokens, tokens (null where variable), marks, set (a hash of leaf and marks): masked lines with enough constants."""
     # one row for each distinct masked line
     distinct = settled(known.groupBy("leaf", "shape", "tokens").agg(F.countDistinct("digest").alias("texts")), "shapes")
-    placed = distinct.select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
-    support = placed.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("texts").alias("support"))
-    constants = support.where(F.col("support") >= enough_texts(F.col("n_tokens"), least_documents))
-    known_here = placed.join(constants, ["leaf", "n_tokens", "pos", "token"], "left")
-    # a token stays where it is constant, so the collected positions are the set in order
-    token = F.when(F.col("support").isNotNull() & (F.col("token") != WILDCARD), F.col("token")).alias("token")
-    whole = known_here.groupBy("leaf", "shape", "texts", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", token))).alias("at"))
-    fixed = F.filter("at", lambda x: x["token"].isNotNull())
-    marks = whole.withColumn("marks", F.transform(fixed, lambda x: F.xxhash64(x["pos"], x["token"])))
+    crowded = distinct.groupBy("leaf").count().where(F.col("count") > GATHERED_SHAPES).select("leaf")
+    crowded = small(settled(crowded, "crowded"), BROADCAST_LEAVES)
+    enough = lambda support, n_tokens: support >= enough_texts(n_tokens, least_documents)
+
+    # the few lines of a leaf meet in one row, and each of their tokens sums the texts that have it at its position
+    gathered = distinct.join(crowded, "leaf", "left_anti").groupBy("leaf").agg(F.collect_list(F.struct("shape", "texts", "tokens")).alias("its"))
+    one = gathered.select("leaf", "its", F.explode("its").alias("one")).withColumn("n_tokens", F.size("one.tokens"))
+    texts_with = lambda t, p: F.aggregate("its", F.lit(0).cast("long"), lambda n, x: n + F.when(F.get(x["tokens"], p) == t, x["texts"]).otherwise(0))
+    token = F.transform("one.tokens", lambda t, p: F.when((t != WILDCARD) & enough(texts_with(t, p), F.col("n_tokens")), t))
+    whole = one.select("leaf", "one.shape", "one.texts", "n_tokens", token.alias("tokens"))
+
+    if not crowded.isEmpty():
+        placed = distinct.join(crowded, "leaf").select("leaf", "shape", "texts", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token"))
+        support = placed.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("texts").alias("support"))
+        constants = support.where(enough(F.col("support"), F.col("n_tokens")))
+        known_here = placed.join(constants, ["leaf", "n_tokens", "pos", "token"], "left")
+        # a token stays where it is constant, so the collected positions are the set in order
+        token = F.when(F.col("support").isNotNull() & (F.col("token") != WILDCARD), F.col("token")).alias("token")
+        met = known_here.groupBy("leaf", "shape", "texts", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("pos", token))).alias("at"))
+        whole = whole.unionByName(met.select("leaf", "shape", "texts", "n_tokens", F.col("at.token").alias("tokens")))
+    marks = whole.withColumn("marks", F.array_compact(F.transform("tokens", lambda t, p: F.when(t.isNotNull(), F.xxhash64(p, t)))))
     return marks.where(F.size("marks") >= similar * F.col("n_tokens")).select(
-        "leaf", "shape", "texts", "n_tokens", F.col("at.token").alias("tokens"), "marks", F.xxhash64("leaf", "marks").alias("set")
+        "leaf", "shape", "texts", "n_tokens", "tokens", "marks", F.xxhash64("leaf", "marks").alias("set")
     )
 
 
@@ -306,10 +350,12 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The documents with their own columns, the text without its recurring lines, and n_lines and n_dropped."""
     lines = document_lines(docs, text, key)
-    leaves = lines.groupBy("leaf", F.size("tokens").alias("n_tokens")).agg(F.countDistinct("digest").alias("n"))
-    leaves = leaves.where(F.col("n") >= enough_texts(F.col("n_tokens"), least_documents)).select("leaf")
+    leaves = lines.groupBy("leaf", F.size("tokens").alias("n_tokens"), lead_of_tokens(F.col("tokens")).alias("lead")).agg(F.countDistinct("digest").alias("n"))
+    leaves = leaves.where(F.col("n") >= enough_texts(F.col("n_tokens"), least_documents)).select("leaf", "lead")
     leaves = settled(leaves, "leaves")
-    known = settled(lines_of_leaves(lines, leaves), "known")
+    leads, leaves = leaves.select("lead").distinct(), leaves.select("leaf")
+    few = leads.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    known = settled(lines_of_leaves(document_lines(docs, text, key, mask=True, leads=leads if few else None), leaves), "known")
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     doc, digest, gone = (free_name(c, docs.columns) for c in ("doc", "digest", "gone"))
     lost = (
@@ -322,7 +368,7 @@ def drop_recurring_lines(
     all_lines = F.split(whole, "\n", -1)
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col(gone), i))
     same = F.col(f"`{key}`").eqNullSafe(F.col(doc)) & (F.xxhash64(whole) == F.col(digest))
-    joined = docs.select(*(f"`{c}`" for c in own)).join(lost, same, "left")
+    joined = docs.select(*(f"`{c}`" for c in own)).join(lost.hint("shuffle_hash"), same, "left")
     cleaned = F.when(F.col(gone).isNull(), whole).otherwise(F.array_join(kept, "\n"))
     return joined.select(
         *(cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in own),
