@@ -7,6 +7,7 @@ import re
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -278,6 +279,21 @@ def test_decontamination_keeps_clean_rows_and_columns(spark):
     assert decontaminate.clean_documents(docs, spark.createDataFrame([], "item_id long, text string")).count() == 4
 
 
+def test_fingerprints_of_a_large_batch_leave_in_bounded_pieces(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(decontaminate, "release_memory", lambda: released.append(1), raising=False)
+    docs = docs_of(spark, ["a"])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = decontaminate.document_fingerprints(docs, [1])
+    texts = [None, "", *(" ".join(f"v{(i * j) % 997}" for j in range(300)) for i in range(400)), "lone"]
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(range(n)), pa.array(texts, pa.string())], names=["row_id", "doc_id", "digest", "text"])
+    whole, single = pa.Table.from_batches(list(run(iter([batch])))), [pa.Table.from_batches(list(run(iter([batch.slice(i, 1)])))) for i in range(n)]
+    assert whole.sort_by([("row_id", "ascending"), ("pos", "ascending"), ("fp", "ascending")]).equals(pa.concat_tables(single).sort_by([("row_id", "ascending"), ("pos", "ascending"), ("fp", "ascending")]))
+    assert max(len(b) for b in run(iter([batch]))) <= decontaminate.FINGERPRINT_ROWS < len(whole) // 4
+    assert released
+
+
 # language
 
 

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import WordHashes, binary_column, folded_words, mix64, rolling, sliding_argmin
-from tidewell.llm.workspace import settled
+from tidewell.llm.workspace import release_memory, settled
 
 SPAN = 10
 K = 5
 W = SPAN - K + 1
 #: Benchmark windows up to this many are broadcast (some 50 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 400_000
+#: Fingerprints of documents that a task holds before they leave as a batch (some 100 bytes each).
+FINGERPRINT_ROWS = 16_384
 #: Fingerprints of documents are spread over so many salts in that shuffle.
 SALTS = 16
 
@@ -68,6 +70,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                     column.extend(values)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["fp", "shift", "length", "win", "item_id"])
+        del cache
+        release_memory()
 
     return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, _ITEM_SCHEMA).distinct()
 
@@ -78,8 +82,23 @@ def document_fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         names = [part.split()[0] for part in _DOC_SCHEMA.split(", ")]
+
+        def rows(own: pa.RecordBatch, n_words: list, which: list, places: list, fps: list, wins: list) -> Iterator[pa.RecordBatch]:
+            ids = own.columns[:3]
+            nulls = (pa.nulls(len(n_words), k) for k in (pa.int32(), *[pa.int64()] * (W + 1)))
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(n_words, pa.int64()), *nulls], names=names)
+            if which:
+                take, at, fp, hashed = (np.concatenate(parts) for parts in (which, places, fps, wins))
+                for start in range(0, len(take), FINGERPRINT_ROWS):
+                    part = slice(start, start + FINGERPRINT_ROWS)
+                    columns = [c.take(pa.array(take[part])) for c in ids]
+                    columns += [pa.nulls(len(columns[0]), pa.int64()), pa.array(at[part].astype(np.int32)), pa.array(fp[part].view(np.int64))]
+                    columns += [pa.array(np.ascontiguousarray(hashed[part, j]).view(np.int64)) for j in range(W)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in batches:
-            rows, ids, digests, texts = batch.column(0), batch.column(1), batch.column(2), binary_column(batch, "text")
+            texts = binary_column(batch, "text")
+            begin, held = 0, 0
             n_words, which, places, fps, wins = [], [], [], [], []
             for i, raw in enumerate(texts):
                 hashes = cache.of(folded_words(raw))
@@ -90,28 +109,25 @@ def document_fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
                     # window start at - j, for j = 0 .. W-1; a start outside the text gives the nearest one, which then has another hash
                     own = rolling(hashes, SPAN)
                     starts = np.clip(at[:, None] - np.arange(W), 0, len(own) - 1)
-                    which.append(np.full(len(at), i))
+                    which.append(np.full(len(at), i - begin))
                     places.append(at)
                     fps.append(grams[at])
                     wins.append(own[starts])
+                    held += len(at)
                 for length in short:
                     if len(hashes) >= length:
                         own = _short_hash(hashes, length)
-                        which.append(np.full(len(own), i))
+                        which.append(np.full(len(own), i - begin))
                         places.append(np.arange(len(own)))
                         fps.append(own)
                         wins.append(np.repeat(own[:, None], W, axis=1))
-            head = pa.RecordBatch.from_arrays(
-                [rows, ids, digests, pa.array(n_words, pa.int64()), *(pa.nulls(len(texts), k) for k in (pa.int32(), *[pa.int64()] * (W + 1)))], names=names
-            )
-            yield head
-            if which:
-                take = pa.array(np.concatenate(which))
-                hashed = np.concatenate(wins).view(np.int64)
-                columns = [rows.take(take), ids.take(take), digests.take(take), pa.nulls(len(take), pa.int64()), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(fps).view(np.int64)), *(pa.array(np.ascontiguousarray(hashed[:, j])) for j in range(W))]
-                whole = pa.RecordBatch.from_arrays(columns, names=names)
-                for start in range(0, len(whole), 65_536):
-                    yield whole.slice(start, 65_536)
+                        held += len(own)
+                if held >= FINGERPRINT_ROWS or i + 1 == len(texts):
+                    yield from rows(batch.slice(begin, i + 1 - begin), n_words, which, places, fps, wins)
+                    begin, held = i + 1, 0
+                    n_words, which, places, fps, wins = [], [], [], [], []
+        del cache
+        release_memory()
 
     source = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
