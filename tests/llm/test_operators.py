@@ -290,7 +290,7 @@ def test_fingerprints_of_a_large_batch_leave_in_bounded_pieces(spark, monkeypatc
     batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(range(n)), pa.array(texts, pa.string())], names=["row_id", "doc_id", "digest", "text"])
     whole, single = pa.Table.from_batches(list(run(iter([batch])))), [pa.Table.from_batches(list(run(iter([batch.slice(i, 1)])))) for i in range(n)]
     assert whole.sort_by([("row_id", "ascending"), ("pos", "ascending"), ("fp", "ascending")]).equals(pa.concat_tables(single).sort_by([("row_id", "ascending"), ("pos", "ascending"), ("fp", "ascending")]))
-    assert max(len(b) for b in run(iter([batch]))) <= decontaminate.FINGERPRINT_ROWS < len(whole) // 4
+    assert max(len(b) for b in run(iter([batch]))) <= 16_384 < len(whole) // 4
     assert released
 
 
